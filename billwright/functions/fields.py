@@ -20,8 +20,12 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def has_email(c: Column) -> Column:
+    return F.contains(c, F.lit("@")) & c.rlike(p.EMAIL)
+
+
 def email(c: Column) -> Column:
-    return first_match(c, p.EMAIL, 0)
+    return F.when(has_email(c), F.regexp_extract(c, p.EMAIL, 0))
 
 
 def website(c: Column) -> Column:
@@ -32,36 +36,35 @@ def tax_id(c: Column) -> Column:
     return first_hit(c, p.TAX_ID)["value"]
 
 
+def has_phone(c: Column) -> Column:
+    return c.rlike(p.PHONE_AREA) | c.rlike(p.PHONE_COUNTRY)
+
+
 def phone(c: Column, as_printed: bool = False) -> Column:
-    """Three-part numbers are reformatted unless ``as_printed``."""
-    found = []
-    for pattern, parts in ((p.PHONE_AREA, 3), (p.PHONE_COUNTRY, 4), (p.PHONE_PLAIN, 3)):
-        g = lambda n, pattern=pattern: F.regexp_extract(c, pattern, n)
-        value = F.format_string("(%s) %s-%s", g(1), g(2), g(3)) if parts == 3 and not as_printed else g(0)
-        found.append(F.when(c.rlike(pattern), value))
-    return F.coalesce(*found)
+    """Three-part numbers are reformatted unless ``as_printed``.
+
+    A number PHONE_PLAIN would find is always found by PHONE_AREA, whose
+    prefix is optional, so only two patterns are tried.
+    """
+    g = lambda n: F.regexp_extract(c, p.PHONE_AREA, n)
+    area = g(0) if as_printed else F.format_string("(%s) %s-%s", g(1), g(2), g(3))
+    return F.coalesce(F.when(c.rlike(p.PHONE_AREA), area), first_match(c, p.PHONE_COUNTRY, 0))
 
 
-def company_name(lines: Column) -> Column:
-    """struct(value, confidence) from the first five lines of a text."""
+def company_name_hit(lines: Column) -> Column:
+    """struct(i, value): the first of five lines that can be a name."""
 
     def is_name(line: Column) -> Column:
         heading = F.lower(line).isin(p.NAME_HEADINGS)
-        contact = line.rlike(p.NAME_NOT_STREET) | line.rlike(p.EMAIL)
-        for pattern in (p.PHONE_AREA, p.PHONE_COUNTRY, p.PHONE_PLAIN):
-            contact = contact | line.rlike(pattern)
+        contact = line.rlike(p.NAME_NOT_STREET) | has_email(line) | has_phone(line)
         return (F.length(line) > 2) & ~heading & ~line.rlike(r"(?U)\A\d+\z") & ~contact
 
     numbered = F.transform(F.slice(lines, 1, 5), lambda line, i: F.struct(i.alias("i"), line.alias("value")))
-    hit = F.get(F.filter(numbered, lambda n: is_name(n["value"])), F.lit(0))
-    later = F.lit(0.7) - hit["i"] * F.lit(0.1)
-    return F.when(
-        hit.isNotNull(),
-        F.struct(
-            hit["value"].alias("value"),
-            F.when(hit["i"] == 0, 0.9).otherwise(F.greatest(later, F.lit(0.3))).alias("confidence"),
-        ),
-    )
+    return F.get(F.filter(numbered, lambda n: is_name(n["value"])), F.lit(0))
+
+
+def company_name_confidence(i: Column) -> Column:
+    return F.when(i == 0, 0.9).otherwise(F.greatest(F.lit(0.7) - i * F.lit(0.1), F.lit(0.3)))
 
 
 def address_hits(lines: Column) -> Column:
@@ -70,7 +73,7 @@ def address_hits(lines: Column) -> Column:
         F.filter(lines, lambda line: line != ""),
         lambda line: F.struct(
             F.regexp_extract(line, p.STREET, 1).alias("street"),
-            F.regexp_extract(line, p.CITY_STATE_ZIP, 0).alias("place"),
+            F.when(F.contains(line, F.lit(",")), F.regexp_extract(line, p.CITY_STATE_ZIP, 0)).otherwise("").alias("place"),
             F.regexp_extract(line, p.ZIP, 1).alias("zip"),
         ),
     )
@@ -119,7 +122,8 @@ def amount(c: Column, kind: str, semantics: Semantics) -> Column:
 
 
 def tax_rate(c: Column) -> Column:
-    return F.coalesce(*[F.regexp_extract(c, pattern, 1).try_cast("double") for pattern in p.TAX_RATE])
+    rates = [F.regexp_extract(c, pattern, 1).try_cast("double") for pattern in p.TAX_RATE]
+    return F.when(F.contains(c, F.lit("%")), F.coalesce(*rates))
 
 
 def payment_terms(c: Column) -> Column:

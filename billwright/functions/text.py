@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,21 @@ from billwright.config import Semantics
 from billwright.functions import patterns as p
 
 
+#: Every character that counts as blank at the ends of a text.
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Without blanks at both ends; ``trim`` knows the space character only."""
-    return F.regexp_replace(c, rf"(?U)\A{p.BLANK}+|(?<!{p.BLANK}){p.BLANK}+\z", "")
+    """Without blanks of any kind at both ends."""
+    return F.trim(c, F.lit(BLANKS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def filled(c: Column) -> Column:
@@ -20,12 +34,15 @@ def filled(c: Column) -> Column:
 
 
 def clean_text(c: Column, semantics: Semantics) -> Column:
-    blanks = r"(?U)[^\S\n]+" if semantics.keep_newlines else rf"(?U){p.BLANK}+"
+    # A lone space stays as it is, so only other blanks and runs are replaced.
+    any_blank = r"[^\S\n]" if semantics.keep_newlines else p.BLANK
+    other = r"[^\S\n ]" if semantics.keep_newlines else r"[\s\x1c-\x1f&&[^ ]]"
+    blanks = rf"(?U){any_blank}{{2,}}|{other}"
     t = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), blanks, " ")
     t = F.translate(t, "|", "I")
     if semantics.swap_first_zero:
         t = F.regexp_replace(t, r"(?s)\A([^0]*)0", "$1O")
-    return F.regexp_replace(t, r"(?U)[$]\s*", r"\$")
+    return F.regexp_replace(t, r"(?U)[$]\s+", r"\$")
 
 
 def sanitize(c: Column, max_length: int | None = None) -> Column:
@@ -68,37 +85,35 @@ def first_hit(text: Column, choices: list[tuple[str, float]]) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    y = year.try_cast("int")
-    y = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    part = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    return F.try_to_date(
-        F.concat_ws("-", part(y, 4), part(month.try_cast("int"), 2), part(day.try_cast("int"), 2)), "yyyy-MM-dd"
-    )
+    part = lambda c, n: F.lpad(c.try_cast("int").cast("string"), n, "0")
+    full_year = let(year.try_cast("int"), lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y))
+    return F.try_to_date(F.concat_ws("-", part(full_year, 4), part(month, 2), part(day, 2)), "yyyy-MM-dd")
 
 
 def parse_date(text: Column, iso_first: bool = False) -> Column:
     """The first reading of ``text`` that is a calendar day, by ordered patterns."""
-    group = lambda pattern, n: F.regexp_extract(text, pattern, n)
 
-    def numbers(pattern: str) -> Column:
-        first, second, third = (group(pattern, n) for n in (1, 2, 3))
-        return F.when(first.try_cast("int") > 12, _day(third, second, first)).otherwise(_day(third, first, second))
+    def reading(pattern: str, pick: Callable[[Callable[[int], Column]], Column]) -> Column:
+        found = F.split(F.regexp_extract(text, pattern, 0), r"(?U)[/\-,\s]+")
+        return let(found, lambda parts: F.when(F.size(parts) == 3, pick(lambda n: F.get(parts, F.lit(n)))))
+
+    def numbers(n: Callable[[int], Column]) -> Column:
+        day_first = n(0).try_cast("int") > 12
+        return F.when(day_first, _day(n(2), n(1), n(0))).otherwise(_day(n(2), n(0), n(1)))
 
     def month_number(name: Column) -> Column:
         names = F.array(*[F.lit(m.lower()) for m in p.MONTHS])
-        return F.array_position(names, F.lower(name)).cast("string")
+        return F.array_position(names, F.lower(name))
 
-    day_month, month_day = p.DATE_DAY_MONTH, p.DATE_MONTH_DAY
     readings = [
-        (p.DATE_NUMBERS, numbers(p.DATE_NUMBERS)),
-        (p.DATE_LONG_FIRST, numbers(p.DATE_LONG_FIRST)),
-        (day_month, _day(group(day_month, 3), month_number(group(day_month, 2)), group(day_month, 1))),
-        (month_day, _day(group(month_day, 3), month_number(group(month_day, 1)), group(month_day, 2))),
+        (p.DATE_NUMBERS, numbers),
+        (p.DATE_LONG_FIRST, numbers),
+        (p.DATE_DAY_MONTH, lambda n: _day(n(2), month_number(n(1)), n(0))),
+        (p.DATE_MONTH_DAY, lambda n: _day(n(2), month_number(n(0)), n(1))),
     ]
     if iso_first:
-        iso = p.DATE_ISO
-        readings.insert(0, (iso, _day(group(iso, 1), group(iso, 2), group(iso, 3))))
-    return F.coalesce(*[F.when(text.rlike(pattern), value) for pattern, value in readings])
+        readings.insert(0, (p.DATE_ISO, lambda n: _day(n(0), n(1), n(2))))
+    return F.when(text != "", F.coalesce(*[reading(pattern, pick) for pattern, pick in readings]))
 
 
 def json_map(c: Column) -> Column:

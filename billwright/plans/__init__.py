@@ -1 +1,6 @@
+"""Named queries, one module per family."""
 
+from billwright.plans import ledger  # noqa: F401
+from billwright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

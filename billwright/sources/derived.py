@@ -285,7 +285,8 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recognised text per invoice: invoice_key, tenant_id, created_at, text.
 
     A text is one value, so its lines are gathered per invoice here. Real
-    input arrives as whole texts and skips this step.
+    input arrives as whole texts and skips this step. Reading a text costs
+    far more than moving it, so the rendered texts are spread over all tasks.
     """
     lines = (
         table(spark, sf_dir, "line_items")
@@ -332,7 +333,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Total: "), money("total_amount")),
             "payment_terms",
         ).alias("text"),
-    )
+    ).repartition("invoice_key")
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
