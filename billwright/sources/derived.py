@@ -333,7 +333,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Total: "), money("total_amount")),
             "payment_terms",
         ).alias("text"),
-    ).repartition("invoice_key")
+    ).repartition(_text_tasks(spark), "invoice_key")
+
+
+def _text_tasks(spark: SparkSession) -> int:
+    """Tasks for text work: a fixed number, because sizes alone would merge them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
