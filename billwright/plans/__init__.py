@@ -1,6 +1,6 @@
 """Named queries, one module per family."""
 
-from billwright.plans import archive, ledger, parties, texts  # noqa: F401
+from billwright.plans import archive, ledger, parties, quality, texts  # noqa: F401
 from billwright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

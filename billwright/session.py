@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         app = spark.sparkContext.applicationId
         base = _LOCAL_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="billwright-"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For costly rows that several later steps use: they read the table instead
+    of working the rows out again, and a lost executor costs only its reads.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

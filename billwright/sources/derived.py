@@ -183,6 +183,37 @@ def templates(d: Dialect) -> dict[str, str]:
                         ELSE concat('Customer#', {_padded('customer_key', 9)}) END AS customer_name,
                    concat({_text('customer_key % 90 + 10')}, ' Elm Avenue') AS customer_street
             FROM {{invoice_headers}}""",
+        # Headers with their parties and planted faults for the rules to find.
+        "headers_to_check": f"""
+            SELECT invoice_key, h.tenant_id,
+                   CASE WHEN invoice_key % 43 = 0 THEN '' WHEN invoice_key % 47 = 0 THEN 'A!' ELSE invoice_number END AS invoice_number,
+                   invoice_date, CASE WHEN invoice_key % 53 = 0 THEN {d.add_days('invoice_date', '-5')} ELSE due_date END AS due_date,
+                   CASE WHEN invoice_key % 59 = 0 THEN 'XXX' ELSE h.currency END AS currency,
+                   CASE WHEN invoice_key % 61 = 0 THEN cast(60 as double) WHEN invoice_key % 67 = 0 THEN cast(-1 as double) ELSE tax_rate END AS tax_rate,
+                   subtotal_amount, tax_amount, shipping_amount, discount_amount,
+                   cast(CASE WHEN invoice_key % 73 = 0 THEN -total_amount ELSE total_amount END as decimal(15,2)) AS total_amount,
+                   CASE WHEN invoice_key % 71 = 0 THEN 'Net 400' ELSE payment_terms END AS payment_terms,
+                   extraction_confidence AS metadata_confidence, extraction_confidence AS company_confidence,
+                   cast(0.75 as double) AS customer_confidence, cast(0.9 as double) AS financial_confidence,
+                   CASE WHEN supplier_key % 23 = 0 THEN upper(c.name) WHEN supplier_key % 29 = 0 THEN 'S' ELSE c.name END AS vendor_name,
+                   CASE WHEN supplier_key % 31 = 0 THEN 'billing(at)vendor' ELSE coalesce(c.email, '') END AS vendor_email,
+                   coalesce(c.phone, '') AS vendor_phone, coalesce(c.address_line1, '') AS vendor_address_line1,
+                   c.city AS vendor_city, c.postal_code AS vendor_postal_code,
+                   CASE WHEN customer_key % 37 = 0 THEN 'C' ELSE u.name END AS customer_name,
+                   CASE WHEN customer_key % 41 = 0 THEN 'cust at example' ELSE u.email END AS customer_email
+            FROM {{invoice_headers}} h JOIN {{companies}} c ON c.id = h.company_id JOIN {{customers}} u ON u.id = h.customer_id""",
+        "checked_companies": """
+            SELECT id, tenant_id, CASE WHEN tax_id LIKE '%05' THEN '' WHEN tax_id LIKE '%15' THEN ' X ' ELSE name END AS name,
+                   CASE WHEN tax_id LIKE '%3' THEN 'billing.vendor.example.com' WHEN tax_id LIKE '%4' THEN 'a..b@vendor.com' ELSE email END AS email,
+                   phone, CASE WHEN tax_id LIKE '%8' THEN 'T!' ELSE tax_id END AS tax_id
+            FROM {companies}""",
+        "checked_headers": """
+            SELECT invoice_key, tenant_id,
+                   CASE WHEN invoice_key % 11 = 0 THEN '' WHEN invoice_key % 13 = 0 THEN 'A1' WHEN invoice_key % 17 = 0 THEN 'INV 17' ELSE invoice_number END AS invoice_number,
+                   CASE WHEN invoice_key % 19 = 0 THEN '2001-13-45' WHEN invoice_key % 23 = 0 THEN '' ELSE cast(invoice_date as string) END AS invoice_date,
+                   CASE WHEN invoice_key % 29 = 0 THEN '01/02/2001' ELSE cast(due_date as string) END AS due_date,
+                   CASE WHEN invoice_key % 31 = 0 THEN '-1.50' WHEN invoice_key % 37 = 0 THEN 'abc' ELSE cast(total_amount as string) END AS total_amount
+            FROM {invoice_headers}""",
         # Suppliers with planted near copies.
         "companies_dirty": f"""
             SELECT concat('CD-', {_padded('s_suppkey', 6)}, '-', {_text('v')}) AS id,
@@ -241,7 +272,7 @@ def _as_int(x: str) -> str:
 
 
 def _parents(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w+)\}", sql)))
 
 
 _SPARK_SQL = templates(SPARK)
@@ -269,7 +300,7 @@ def oracle(body: str) -> str:
                 ordered.append(parent)
 
     visit(body)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{([a-z]\w+)\}", r"\1", s)
     ctes = [f"{n} AS ({plain(_DUCKDB_SQL[n])})" for n in ordered]
     body = plain(body).strip()
     if not ctes:
