@@ -37,7 +37,7 @@ def tax_id(c: Column) -> Column:
 
 
 def has_phone(c: Column) -> Column:
-    return c.rlike(p.PHONE_AREA) | c.rlike(p.PHONE_COUNTRY)
+    return c.rlike(p.PHONE_AREA_CORE) | c.rlike(p.PHONE_COUNTRY_CORE)
 
 
 def phone(c: Column, as_printed: bool = False) -> Column:
@@ -48,7 +48,8 @@ def phone(c: Column, as_printed: bool = False) -> Column:
     """
     g = lambda n: F.regexp_extract(c, p.PHONE_AREA, n)
     area = g(0) if as_printed else F.format_string("(%s) %s-%s", g(1), g(2), g(3))
-    return F.coalesce(F.when(c.rlike(p.PHONE_AREA), area), first_match(c, p.PHONE_COUNTRY, 0))
+    country = F.regexp_extract(c, p.PHONE_COUNTRY, 0)
+    return F.when(c.rlike(p.PHONE_AREA_CORE), area).when(c.rlike(p.PHONE_COUNTRY_CORE), country)
 
 
 def company_name_hit(lines: Column) -> Column:

@@ -45,6 +45,9 @@ EMAIL = r"(?U)\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE_AREA = r"(?U)\+?1?[-.\s]?\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4})"
 PHONE_COUNTRY = r"(?U)\+?(\d{1,3})[-.\s]?(\d{3,4})[-.\s]?(\d{3,4})[-.\s]?(\d{3,4})"
 PHONE_PLAIN = r"(?U)(\d{3})[-.\s]?(\d{3})[-.\s]?(\d{4})"
+# The same two without their optional heads: they occur in exactly the same texts.
+PHONE_AREA_CORE = r"(?U)\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+PHONE_COUNTRY_CORE = r"(?U)\d{1,3}[-.\s]?\d{3,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}"
 WEBSITE = (
     r"(?U)(?:https?://(?:www\.)?|(?<![a-zA-Z0-9-])(?:www\.)?)"
     r"(?:[a-zA-Z0-9-]++\.)+[a-zA-Z]{2,}(?:/[^\s]*)?"

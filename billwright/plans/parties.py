@@ -92,11 +92,8 @@ def vendor_candidates(spark, sf_dir):
            CASE WHEN vendor_address_line1 = '' AND c.address_line1 <> '' THEN c.postal_code ELSE '' END AS vendor_postal_code,
            CASE WHEN vendor_address_line1 = '' AND c.address_line1 <> '' THEN c.country ELSE '' END AS vendor_country,
            coalesce(nullif(customer_email, ''), u.email, '') AS customer_email, coalesce(u.phone, '') AS customer_phone,
-           coalesce(nullif(terms, ''), concat('Net ', u.payment_terms_days) , '') AS payment_terms
-    FROM (SELECT r.*, CASE WHEN customer_id IS NULL THEN NULL ELSE 1 END AS has FROM r) r
-    LEFT JOIN {{companies}} c ON c.id = company_id LEFT JOIN {{customers}} u ON u.id = customer_id""".replace(
-        "concat('Net ', u.payment_terms_days)", "'Net ' || u.payment_terms_days"
-    ),
+           coalesce(nullif(terms, ''), 'Net ' || u.payment_terms_days, '') AS payment_terms
+    FROM r LEFT JOIN {{companies}} c ON c.id = company_id LEFT JOIN {{customers}} u ON u.id = customer_id""",
 )
 def enhance_from_dimensions(spark, sf_dir):
     return match.enhance_from_dimensions(

@@ -305,10 +305,10 @@ def oracle(body: str) -> str:
     body = plain(body).strip()
     if not ctes:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {', '.join(ctes)}, {body[5:]}"
-    if body[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body.removeprefix('WITH RECURSIVE ')}"
+    if body.startswith("WITH "):
+        return f"WITH {', '.join(ctes)}, {body.removeprefix('WITH ')}"
     return f"WITH {', '.join(ctes)} {body}"
 
 
