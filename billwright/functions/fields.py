@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billwright.config import Semantics
 from billwright.functions import patterns as p
-from billwright.functions.text import first_hit, strip
+from billwright.functions.text import first_hit, let, strip
 
 MONEY = "decimal(15,2)"
 
@@ -146,12 +148,15 @@ def items_section(c: Column, lines: Column, drop_header: bool) -> Column:
     looks like a row to a blank line or a total. Each line becomes one letter
     (r row, s stop, o other) and the run is a match over these letters.
     """
-    by_header = []
-    for pattern, header in zip(p.ITEM_SECTIONS, p.ITEM_HEADERS):
-        section = F.regexp_extract(c, pattern, 1)
-        if drop_header:
-            section = F.regexp_replace(section, r"\A" + p.I + header, "")
-        by_header.append(F.when(c.rlike(pattern), section))
+
+    def below(header: str) -> Callable[[Column], Column]:
+        cut = r"\A" + p.I + header
+        # A section that was found holds its header at least, so empty means none.
+        return lambda found: F.when(found != "", F.regexp_replace(found, cut, "") if drop_header else found)
+
+    by_header = [
+        let(F.regexp_extract(c, pattern, 1), below(header)) for pattern, header in zip(p.ITEM_SECTIONS, p.ITEM_HEADERS)
+    ]
     letters = F.array_join(
         F.transform(
             lines,
