@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from billwright.functions.text import filled, strip
 from billwright.operators.skew import attach
+from billwright.session import staged
 
 
 @dataclass(frozen=True)
@@ -122,17 +123,17 @@ def name_candidates(parties: DataFrame, dimension: DataFrame, party: Party, limi
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("part", "searched_name")
 
 
-def _party_keys(party: Party) -> list[str]:
+def party_keys(party: Party) -> list[str]:
     return ["tenant_id", party.name, *[e[0] for e in party.exact]]
 
 
 def resolve(invoices: DataFrame, dimension: DataFrame, party: Party, stored_columns: list[str]) -> DataFrame:
     """Invoices with match_id, matched_by and ``stored_columns`` of the match as ``stored_<name>``."""
-    keys = _party_keys(party)
-    parties = invoices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    keys = party_keys(party)
+    parties = staged(invoices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "parties")
     matched = match_parties(parties, dimension, party)
     stored = dimension.select(F.col("id").alias("match_id"), *[F.col(c).alias(f"stored_{c}") for c in stored_columns])
-    per_party = matched.join(stored, "match_id", "left")
+    per_party = staged(matched.join(stored, "match_id", "left"), "matched")
     return attach(invoices, per_party, keys, F.col("invoice_key")).drop("n")
 
 
@@ -194,7 +195,7 @@ def upsert(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame
     without a match become one new row per tenant and name, from the smallest
     invoice_key.
     """
-    keys = _party_keys(party)
+    keys = party_keys(party)
     at = F.struct("created_at", "invoice_key")
     latest, first = [], []
     for source, target in party.attributes:
@@ -204,7 +205,7 @@ def upsert(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame
     parties = invoices.groupBy(*keys).agg(
         *latest, F.min(F.struct("invoice_key", F.struct(*first).alias("row"))).alias("_first"), F.max(at).alias("_at")
     )
-    matched = match_parties(parties, dimension, party)
+    matched = staged(match_parties(staged(parties, "parties"), dimension, party), "matched")
     targets = [t for _, t in party.attributes]
     changes = (
         matched.where(F.col("match_id").isNotNull())

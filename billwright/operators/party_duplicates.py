@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from billwright.functions.similarity import name_similarity
 from billwright.functions.text import strip, word_set
 from billwright.operators.skew import attach, first_per_key
+from billwright.session import staged
 
 
 def _links(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _links(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
     usable = rows
     for k in keys:
         usable = usable.where(F.col(k).isNotNull() & (F.col(k) != ""))
-    firsts = first_per_key(usable, keys, ["id"]).where(F.col("n") > 1)
+    firsts = staged(first_per_key(usable, keys, ["id"]).where(F.col("n") > 1), "groups")
     return (
         attach(usable, firsts, keys, F.col("id"))
         .where(F.col("id") > F.col("first.id"))
@@ -86,7 +87,7 @@ def duplicate_links(
     out = [_links(base.withColumn("_key", value), ["tenant_id", "_key"], rule) for rule, value in same.items()]
     out.append(_links(base, ["tenant_id", "_place", "_name"], "name_and_address"))
     names = base.groupBy("tenant_id", F.col("_place").alias("address"), F.col("_name").alias("name")).agg(F.min("id").alias("first_id"))
-    pairs = _similar_names(names, threshold, containment)
+    pairs = _similar_names(staged(names, "names"), threshold, containment)
     out.append(
         pairs.select(
             "tenant_id",

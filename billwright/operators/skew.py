@@ -27,7 +27,7 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], row_id: Column,
     heavy = F.broadcast(heavy)
     is_heavy = F.coalesce("_heavy", F.lit(False))
     # Rows without a full key are spread too: they would all hash to one task.
-    no_key = ~F.lit(True)
+    no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
     left = (
@@ -47,4 +47,7 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str], alias: str
 
     An aggregate, so each task sends one row per key however many it read.
     """
+    if len(order) == 1:  # a plain minimum can be kept in a hash aggregate
+        plain = rows.groupBy(*keys).agg(F.min(order[0]).alias("_least"), F.count(F.lit(1)).alias("n"))
+        return plain.select(*keys, F.struct(F.col("_least").alias(order[0])).alias(alias), "n")
     return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias(alias), F.count(F.lit(1)).alias("n"))

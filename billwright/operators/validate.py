@@ -17,6 +17,8 @@ from billwright.functions import rules as r
 from billwright.functions.money import MONEY
 from billwright.functions.text import strip
 from billwright.operators.duplicates import repeated_lines
+from billwright.operators.skew import attach
+from billwright.session import staged
 
 REVIEW_ERRORS = "Manual review required due to validation errors"
 REVIEW_SCORE = "Manual review recommended due to low confidence score"
@@ -78,7 +80,7 @@ def with_line_summary(headers: DataFrame, lines: DataFrame, rules: RuleSet) -> D
 
 
 def verdicts(summarized: DataFrame, as_of: date, rules: RuleSet = RuleSet(), semantics: Semantics = CORRECTED) -> DataFrame:
-    """One verdict per invoice row that carries its line summary; ``kept`` columns pass through."""
+    """One verdict per invoice row that carries its line summary; its columns pass through."""
     checks = r.header_rules(rules, as_of)
     counts = summarized.select(
         "*",
@@ -140,11 +142,11 @@ def processing_outcome() -> dict[str, Column]:
 
 def findings(headers: DataFrame, lines: DataFrame, as_of: date, rules: RuleSet = RuleSet()) -> DataFrame:
     """invoice_key, tenant_id, rule, severity, message: one row per finding."""
-    with_lines = with_line_summary(headers, lines, rules)
+    with_lines = staged(with_line_summary(headers, lines, rules), "summarized")
     of_headers = with_lines.select(
         "invoice_key", "tenant_id", F.inline(r.listed(r.header_rules(rules, as_of)))
     )
-    tenants = headers.select("invoice_key", "tenant_id")
+    tenants = with_lines.where(F.col("line_count") > 0).select("invoice_key", "tenant_id", F.col("line_count").alias("n"))
     of_lines = lines.select("invoice_key", F.inline(r.listed(r.line_rules(rules))))
     repeats = repeated_lines(lines).select(
         "invoice_key",
@@ -152,4 +154,5 @@ def findings(headers: DataFrame, lines: DataFrame, as_of: date, rules: RuleSet =
         F.lit(r.WARNING).alias("severity"),
         F.concat(F.lit("Possible duplicate line item: "), "description").alias("message"),
     )
-    return of_headers.unionByName(of_lines.unionByName(repeats).join(tenants, "invoice_key"))
+    below = attach(of_lines.unionByName(repeats), tenants, ["invoice_key"], F.col("message")).drop("n")
+    return of_headers.unionByName(below.where(F.col("tenant_id").isNotNull()))

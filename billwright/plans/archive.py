@@ -322,6 +322,18 @@ def _export(spark, sf_dir, fmt):
     return dates_as_text(files.export(rows, shared_folder(spark, f"export-{fmt}"), fmt, date(1998, 1, 1), date(1999, 12, 31)))
 
 
+@query(
+    "write_records",
+    """SELECT invoice_key, invoice_number, cast(invoice_date as string) AS invoice_date, company_id, customer_id,
+              cast(total_amount as double) AS total_amount, payment_terms, tenant_id FROM {invoice_headers} WHERE tenant_id = 'tenant_2'""",
+)
+def write_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "invoice_headers").select(*_EXPORTED)
+    stored = files.store(rows, shared_folder(spark, "records"))
+    # The filter is on the partition column, so only that tenant's folder is read.
+    return dates_as_text(stored.where(F.col("tenant_id") == "tenant_2"))
+
+
 @query("export_invoices_csv", _EXPORT_SQL)
 def export_invoices_csv(spark, sf_dir):
     return _export(spark, sf_dir, "csv")
