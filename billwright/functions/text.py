@@ -84,36 +84,31 @@ def first_hit(text: Column, choices: list[tuple[str, float]]) -> Column:
     )
 
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    part = lambda c, n: F.lpad(c.try_cast("int").cast("string"), n, "0")
-    full_year = let(year.try_cast("int"), lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y))
-    return F.try_to_date(F.concat_ws("-", part(full_year, 4), part(month, 2), part(day, 2)), "yyyy-MM-dd")
-
-
 def parse_date(text: Column, iso_first: bool = False) -> Column:
     """The first reading of ``text`` that is a calendar day, by ordered patterns."""
-
-    def reading(pattern: str, pick: Callable[[Callable[[int], Column]], Column]) -> Column:
-        found = F.split(F.regexp_extract(text, pattern, 0), r"(?U)[/\-,\s]+")
-        return let(found, lambda parts: F.when(F.size(parts) == 3, pick(lambda n: F.get(parts, F.lit(n)))))
-
-    def numbers(n: Callable[[int], Column]) -> Column:
-        day_first = n(0).try_cast("int") > 12
-        return F.when(day_first, _day(n(2), n(1), n(0))).otherwise(_day(n(2), n(0), n(1)))
-
-    def month_number(name: Column) -> Column:
-        names = F.array(*[F.lit(m.lower()) for m in p.MONTHS])
-        return F.array_position(names, F.lower(name))
-
-    readings = [
-        (p.DATE_NUMBERS, numbers),
-        (p.DATE_LONG_FIRST, numbers),
-        (p.DATE_DAY_MONTH, lambda n: _day(n(2), month_number(n(1)), n(0))),
-        (p.DATE_MONTH_DAY, lambda n: _day(n(2), month_number(n(0)), n(1))),
-    ]
+    readings = [p.DATE_NUMBERS, p.DATE_LONG_FIRST, p.DATE_DAY_MONTH, p.DATE_MONTH_DAY]
     if iso_first:
-        readings.insert(0, (p.DATE_ISO, lambda n: _day(n(0), n(1), n(2))))
-    return F.when(text != "", F.coalesce(*[reading(pattern, pick) for pattern, pick in readings]))
+        readings.insert(0, p.DATE_ISO)
+    is_kind = lambda i, *kinds: i.isin([n for n, k in enumerate(readings) if k in kinds])
+    names = F.array(*[F.lit(m.lower()) for m in p.MONTHS])
+
+    def day(parts: Column, i: Column) -> Column:
+        a, b, c = (F.get(parts, F.lit(n)) for n in range(3))
+        named = lambda x: F.array_position(names, F.lower(x)).cast("string")
+        numbers, iso, day_month = is_kind(i, *readings[-4:-2]), is_kind(i, p.DATE_ISO), is_kind(i, p.DATE_DAY_MONTH)
+        day_first = numbers & (a.try_cast("int") > 12)
+        # Which part is what; a month name is turned into its number.
+        month = F.when(iso | day_first, b).when(numbers, a).when(day_month, named(b)).otherwise(named(a))
+        number = F.when(iso, c).when(day_first | day_month, a).otherwise(b)
+        year = F.when(iso, a).otherwise(c).try_cast("int")
+        year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
+        two = lambda x: F.lpad(x.try_cast("int").cast("string"), 2, "0")
+        full = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(number))
+        return F.try_to_date(full, "yyyy-MM-dd")
+
+    found = F.array(*[F.regexp_extract(text, pattern, 0) for pattern in readings])
+    parts = F.transform(found, lambda m: F.split(m, r"(?U)[/\-,\s]+"))
+    return F.when(text != "", F.get(F.filter(F.transform(parts, day), lambda d: d.isNotNull()), F.lit(0)))
 
 
 def json_map(c: Column) -> Column:
