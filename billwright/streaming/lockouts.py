@@ -7,9 +7,11 @@ user's rows are never held together in memory.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +21,9 @@ from billwright.config import LOCK_AFTER_FAILURES, LOCK_SECONDS
 LOCKS = "user_id bigint, locked_at_us bigint, locked_until_us bigint, failures int"
 _MICROS = 1_000_000
 
+# Executors get these functions with the job and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _login(failures: int, locked_until: int, at: int, failed: bool) -> tuple[int, int, bool]:
     """(failures, locked_until, locked now) after one login; times in microseconds, 0 is unlocked."""
