@@ -180,7 +180,7 @@ def list_customers(spark, sf_dir):
                           arg_min(description, line_id) AS first_description FROM {{line_items}} GROUP BY invoice_key),
              r AS (SELECT *, row_number() OVER (PARTITION BY invoice_key ORDER BY created_at DESC, id) AS rank FROM {{processing_logs}}),
              g AS (SELECT invoice_key, string_agg(process_stage, ',' ORDER BY rank) AS stages FROM r WHERE rank <= 10 GROUP BY invoice_key)
-        SELECT h.invoice_key, 0 AS part, 1 AS parts, h.invoice_number, cast(h.total_amount as double) AS total,
+        SELECT h.invoice_key, h.invoice_number, cast(h.total_amount as double) AS total,
                cast(h.total_amount - h.paid_amount as double) AS outstanding,
                {_TODAY} > due_date AND payment_status <> 'paid' AS is_overdue,
                cast(invoice_date + 2555 as string) AS retention_until, h.file_hash,
@@ -200,27 +200,37 @@ def invoice_documents(spark, sf_dir):
     shape = (
         "invoice_number string, amounts struct<total double, outstanding double>, flags struct<is_overdue boolean>,"
         " retention_until string, file_info struct<file_hash string>, company struct<display_name string>,"
-        " customer struct<display_name string>, line_items array<struct<description string, total_price decimal(15,2)>>,"
+        " customer struct<display_name string>,"
+        " line_items array<struct<line_id string, description string, total_price decimal(15,2)>>,"
         " processing_logs array<struct<process_stage string>>"
     )
-    read = docs.select("invoice_key", "part", "parts", F.from_json("document", shape).alias("d"))
+    read = docs.select("invoice_key", F.from_json("document", shape).alias("d"))
     zero = F.lit(0).cast("decimal(25,2)")
-    return read.select(
-        "invoice_key",
-        "part",
-        "parts",
-        "d.invoice_number",
-        "d.amounts.total",
-        "d.amounts.outstanding",
-        "d.flags.is_overdue",
-        "d.retention_until",
-        "d.file_info.file_hash",
+    header = [
+        F.col("d.invoice_number"),
+        F.col("d.amounts.total"),
+        F.col("d.amounts.outstanding"),
+        F.col("d.flags.is_overdue"),
+        F.col("d.retention_until"),
+        F.col("d.file_info.file_hash"),
         F.col("d.company.display_name").alias("vendor"),
         F.col("d.customer.display_name").alias("buyer"),
-        F.size("d.line_items").alias("lines"),
-        F.aggregate("d.line_items", zero, lambda a, x: (a + x["total_price"]).cast("decimal(25,2)")).cast("double").alias("lines_total"),
-        F.get("d.line_items", F.lit(0))["description"].alias("first_description"),
         F.array_join("d.processing_logs.process_stage", ",").alias("stages"),
+    ]
+    names = ["invoice_number", "total", "outstanding", "is_overdue", "retention_until", "file_hash", "vendor", "buyer", "stages"]
+    first = F.get("d.line_items", F.lit(0))
+    per_part = read.select(
+        "invoice_key",
+        *header,
+        F.size("d.line_items").alias("n"),
+        F.aggregate("d.line_items", zero, lambda a, x: (a + x["total_price"]).cast("decimal(25,2)")).alias("sum"),
+        F.when(first.isNotNull(), F.struct(first["line_id"], first["description"].alias("description"))).alias("first"),
+    )
+    # The parts of a long invoice repeat its header and share its lines.
+    return per_part.groupBy("invoice_key", *names).agg(
+        F.sum("n").alias("lines"),
+        F.sum("sum").cast("double").alias("lines_total"),
+        F.min("first").getField("description").alias("first_description"),
     )
 
 

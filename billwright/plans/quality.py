@@ -124,7 +124,7 @@ _RULES_SQL = [
 ]
 _X = f"""WITH {_L},
     x AS (SELECT h.*, coalesce(n, 0) AS n, coalesce(line_sum, 0) AS line_sum, coalesce(e, 0) AS e, coalesce(q, 0) AS q, coalesce(w, 0) AS w,
-                 cast(subtotal_amount * cast(cast(tax_rate as string) as decimal(12,8)) * cast(0.01 as decimal(3,2)) as decimal(38,12)) AS tax_due
+                 cast(cast(subtotal_amount as decimal(22,2)) * cast(cast(tax_rate as string) as decimal(12,8)) * cast(0.01 as decimal(3,2)) as decimal(38,12)) AS tax_due
           FROM {{headers_to_check}} h LEFT JOIN g USING (invoice_key))"""
 
 

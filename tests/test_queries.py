@@ -24,3 +24,8 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+
+
+def test_entry_has_rows(spark):
+    rows = entry_points.entry(spark)
+    assert rows.count() > 0 and "company_id" in rows.columns
