@@ -24,7 +24,7 @@ _PROFILE = f"""count(*) AS texts, cast(sum(length(text)) as bigint) AS character
     {_count(r'(?i)[$€£¥₹]\s*\d+\.?\d*|\b\d+\.?\d*\s*(?:USD|EUR|GBP|JPY|INR)\b')} AS currency_count"""
 
 
-@query("text_profile", f"SELECT source, lang, {_PROFILE} FROM {{{{documents}}}} GROUP BY source, lang".replace("{{", "{").replace("}}", "}"))
+@query("text_profile", f"SELECT source, lang, {_PROFILE} FROM documents GROUP BY source, lang")
 def text_profile(spark, sf_dir):
     return profile.text_profile(table(spark, sf_dir, "documents"), ["source", "lang"])
 
@@ -60,26 +60,20 @@ def _contact_texts(spark, sf_dir):
     return docs.unionByName(pages)
 
 
-@query("contact_fields")
+@query("contact_fields", _CONTACT_ROWS)
 def contact_fields(spark, sf_dir):
     return profile.contact_fields(_contact_texts(spark, sf_dir))
 
 
-@query("contact_coverage")
+@query(
+    "contact_coverage",
+    f"""SELECT kind, origin, count(*) AS texts, count(email) AS with_email, count(phone) AS with_phone,
+        count(website) AS with_website, count(tax_id) AS with_tax_id FROM ({_CONTACT_ROWS}) c GROUP BY kind, origin""",
+)
 def contact_coverage(spark, sf_dir):
     return profile.contact_coverage(profile.contact_fields(_contact_texts(spark, sf_dir)), ["kind", "origin"])
 
 
-CONTACT_SQL = {
-    "contact_fields": _CONTACT_ROWS,
-    "contact_coverage": f"""SELECT kind, origin, count(*) AS texts, count(email) AS with_email, count(phone) AS with_phone,
-        count(website) AS with_website, count(tax_id) AS with_tax_id FROM ({_CONTACT_ROWS}) c GROUP BY kind, origin""",
-}
-# These hold braces of their own, so they are registered as plain SQL.
-from billwright.plans.registry import ORACLES  # noqa: E402
-
-ORACLES.update(CONTACT_SQL)
-
 _BLOCKS = r"""SELECT doc_id, block_index, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, cast(confidence as decimal(9,4)) AS confidence,
                      x + width / 2.0 AS cx, y + height / 2.0 AS cy FROM {ocr_blocks}"""
 
