@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billwright.llm import bpe, token_counts
+from billwright.llm import bpe, language, token_counts, toxicity
 from billwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out("doc_id", 4, 2)
+    model = language.train(docs.where(~out))
+    return language.predict(docs, model).withColumn("held_out", out)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out("doc_id", 5, 0)
+    crf = toxicity.train(docs, table(spark, sf_dir, "labels").where(~out))
+    return (
+        toxicity.score(docs, crf)
+        .withColumn("held_out", out)
+        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    )
