@@ -76,3 +76,9 @@ def safe_parts(text: str) -> list[str]:
 def texts(batch: pa.RecordBatch, column: int) -> list[str]:
     """The texts of a batch, null as ''."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def anti_by_id(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` not in ``ids`` by ``columns``; broadcast only if counted to be few."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, columns, "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.llm import bpe, language, token_counts, toxicity
+from billwright.llm import bpe, decontaminate, exact_dedup, language, token_counts, toxicity
 from billwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,64 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("held_out", out)
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+ORACLES["op7_exact_dedup"] = """
+WITH folded AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s
+  FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY s) AS keep_id,
+       count(*) OVER (PARTITION BY s) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY s) AS kept,
+       sha256(s) AS text_sha256
+FROM folded
+"""
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op4_decontamination"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i : i + 9], ' ') AS s
+  FROM item, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(i) WHERE len(w) > 0
+), size AS (SELECT DISTINCT size FROM item_window),
+doc_window AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS s
+  FROM doc, size, unnest(range(1, len(w) - size + 2)) AS r(i)
+), hit AS (
+  SELECT DISTINCT d.doc_id, d.i, d.size, m.item_id FROM doc_window d JOIN item_window m USING (size, s)
+), place AS (
+  SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + size)) AS r(p)
+), hit_count AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
+hit_item AS (
+  SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, len(w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_count c USING (doc_id) LEFT JOIN hit_item t USING (doc_id)
+"""
