@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, token_counts, toxicity
+from billwright.llm import bpe, decontaminate, exact_dedup, language, ngram_join, passages, token_counts, toxicity
 from billwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ shared AS (
 SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, g.component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) g ON g.x = doc.doc_id
 """
+
+
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"), length=400)
