@@ -230,6 +230,7 @@ def _codec(path: str, pattern: str) -> Codec:
 
 def _mapped(rows: DataFrame, id_col: str, value: str, kind: str, fields: list[T.StructField], row) -> DataFrame:
     """``row`` applied to each value, batch by batch, beside the id."""
+    common.ship(rows.sparkSession)
     schema = T.StructType([common.field(rows, id_col), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

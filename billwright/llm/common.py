@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +24,8 @@ SCHEMAS = {
 #: Ids up to this many are broadcast (8 bytes each, 16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
@@ -82,3 +87,18 @@ def anti_by_id(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame
     """``rows`` not in ``ids`` by ``columns``; broadcast only if counted to be few."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, columns, "left_anti")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.TemporaryDirectory()  # the driver serves the file as long as it runs
+    archive = f"{folder.name}/{package.name}-{context.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED[context.applicationId] = folder

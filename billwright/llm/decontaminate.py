@@ -161,6 +161,7 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     give repeated rows; a null or empty text has no words; null ids are kept;
     items without words or id match nothing; other columns are not read.
     """
+    common.ship(docs.sparkSession)
     index = build_index(docs, size + slop + 1, id_col, text_col)
     postings = index.where(F.col("word").isNotNull()).select("part", "word", "n", "places")
     windows = staged(item_windows(items, size), "item-windows")

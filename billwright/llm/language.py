@@ -136,6 +136,7 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
                 names=["label", "bucket", "n"],
             )
 
+    common.ship(rows.sparkSession)
     labelled = rows.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")
     )
@@ -156,6 +157,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     if the model knows no language, is ``und`` with score 0. Between equally
     near codewords the first language by name is taken.
     """
+    common.ship(docs.sparkSession)
     schema = T.StructType(
         [
             common.field(docs, id_col),

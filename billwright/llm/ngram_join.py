@@ -218,7 +218,8 @@ def _tile_pairs(rows: DataFrame, part: int, whole: int) -> DataFrame:
 
 
 def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row the group of texts that links reach: the id column, ``n_shingles``, ``component_id``.
+    """For every row the group of texts that links reach: the id column, ``n_shingles``, ``component_id``,
+    ``stays`` (whether this row is the group's first, by id) and ``row_key``.
 
     Words are stretches without white space, after A-Z are lower-cased. Two
     texts link if ``whole * common >= part * union`` of their distinct
@@ -228,11 +229,12 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
     share an id but not the text are apart; null ids take part, but a group's
     id is null only if all its ids are. Other columns are not read.
     """
+    common.ship(docs.sparkSession)
     profiles = _profiles(docs, id_col, text_col, size, part, whole)
     classes = staged(
         profiles.where("n > 0")
         .groupBy("h1", "h2", "n")
-        .agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("bitmap").alias("bitmap"), F.first("tokens").alias("tokens"))
+        .agg(F.min("key").alias("key"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least"), F.first("bitmap").alias("bitmap"), F.first("tokens").alias("tokens"))
         .withColumn("c", F.monotonically_increasing_id()),
         "classes",
     )
@@ -271,15 +273,13 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
     roots = graph.components(links.unionByName(more))
 
     named = _labelled(classes.select("c", "h1", "h2", "n", "least"), roots)
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("h1", "h2", "n", "component_id")
-    rows = profiles.select("id", "h1", "h2", "n")
-    return (
-        rows.where("n > 0")
-        .join(named, ["h1", "h2", "n"])
-        .select("id", "n", "component_id")
-        .unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    least = named.groupBy("label").agg(F.min("least").alias("first"))
+    named = named.join(least, "label").select("h1", "h2", "n", "first")
+    rows = profiles.select("id", "key", "h1", "h2", "n")
+    linked = rows.where("n > 0").join(named, ["h1", "h2", "n"]).select("id", "key", "n", F.col("first.id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("stays"))
+    alone = rows.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(True).alias("stays"))
+    return linked.unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "stays", F.col("key").alias("row_key")
     )
 
 

@@ -275,6 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     rows repeat each other and lose what is long enough. Null ids are kept,
     other columns are not read.
     """
+    common.ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     stretches = repeated_stretches(rows.drop("id").where(F.col("n_bytes") >= length), length)

@@ -116,7 +116,7 @@ FROM doc LEFT JOIN hit_count c USING (doc_id) LEFT JOIN hit_item t USING (doc_id
 
 @query
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.cluster(table(spark, sf_dir, "documents"), size=4, part=85)
+    return ngram_join.cluster(table(spark, sf_dir, "documents"), size=4, part=85).drop("stays", "row_key")
 
 
 ORACLES["op5_ngram_join"] = r"""

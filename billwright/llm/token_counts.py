@@ -92,6 +92,7 @@ def count_tokens(
     lengths leave the Arrow function. Long texts are cut at safe boundaries
     and their parts encoded in batches of about ``BATCH_BYTES``.
     """
+    common.ship(docs.sparkSession)
     schema = T.StructType(
         [
             common.field(docs, id_col),

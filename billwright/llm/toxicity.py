@@ -262,6 +262,7 @@ def score(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "
     Row by row: repeated rows give repeated rows, a null id is kept, other
     columns are not read.
     """
+    common.ship(docs.sparkSession)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([common.field(docs, id_col), T.StructField("score", T.DoubleType())])
     if spans:
