@@ -138,7 +138,8 @@ def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col:
 
 def _intersect(lists: list[np.ndarray], offsets: np.ndarray, slop: int) -> np.ndarray:
     """Starts at which each list has a place within ``slop`` of its offset, rarest list first."""
-    starts = lists[0].astype(np.int64) - offsets[0]
+    shifts = np.arange(-slop, slop + 1)
+    starts = np.unique((lists[0].astype(np.int64) - offsets[0])[:, None] + shifts)
     for places, offset in zip(lists[1:], offsets[1:]):
         if not len(starts):
             break
@@ -162,7 +163,7 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     items without words or id match nothing; other columns are not read.
     """
     common.ship(docs.sparkSession)
-    index = build_index(docs, size + slop + 1, id_col, text_col)
+    index = build_index(docs, size + 2 * slop + 1, id_col, text_col)
     postings = index.where(F.col("word").isNotNull()).select("part", "word", "n", "places")
     windows = staged(item_windows(items, size), "item-windows")
     numbered = staged(windows.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
@@ -203,7 +204,7 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
         docs_at = table.filter(pa.array(kind == 2))
         begins = docs_at.column("a").to_numpy()
         order = np.argsort(begins, kind="stable")
-        begins = begins[order]
+        begins, counts = begins[order], docs_at.column("b").to_numpy()[order]
         wins = table.filter(pa.array(kind == 1))
         starts, sizes, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for win, terms, offsets in zip(wins.column("a").to_pylist(), wins.column("terms").to_pylist(), wins.column("offsets").to_pylist()):
@@ -215,7 +216,10 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
             sizes.append(np.full(len(at), len(terms)))
             of.append(np.full(len(at), win))
         starts, sizes, of = map(np.concatenate, (starts, sizes, of))
-        doc = np.searchsorted(begins, np.maximum(starts, 0), "right") - 1
+        doc = np.searchsorted(begins, starts + slop, "right") - 1
+        ends = np.minimum(starts + sizes, (begins + counts)[doc])
+        starts = np.maximum(starts, begins[doc])
+        sizes = ends - starts
         out: dict[str, list] = {"part": [], "begin": [], "n_hit": [], "wins": []}
         by_doc = np.lexsort((starts, doc))
         starts, sizes, of, doc = starts[by_doc], sizes[by_doc], of[by_doc], doc[by_doc]
