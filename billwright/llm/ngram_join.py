@@ -4,9 +4,11 @@ Texts with the same n-gram set are one class. Two classes that link share an
 n-gram among the rarest few of each (the prefix filter), so each class is
 listed under these. Within a list classes meet in tiles of one size band and
 the next; hashed bitmaps tell by bit counts how much two sets can overlap at
-most, and what passes is settled by intersecting sorted arrays. A first round
-compares each class with one of its lists only; classes that it connects need
-not be compared again, so large groups of near copies take linear work.
+most, and what passes is settled by intersecting sorted arrays. Classes that links
+connect already need not be compared again: a first round compares each class
+with one of a list only, and each further round tests just the pairs that would
+join what is still apart, until none is left. So large groups of near copies
+give as many pairs as they have classes.
 """
 
 from __future__ import annotations
@@ -185,38 +187,66 @@ def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return staged(met.select("a", "b", "g1", "g2").mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
-def _tile_pairs(rows: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs of unlike labels within tiles that may link: ``rows`` of tile, own, block, c, n, label, bitmap."""
+def _tile_pairs(rows: DataFrame, forests: int, part: int, whole: int) -> DataFrame:
+    """Pairs that would connect unlike labels of a tile if they link, as many as ``forests`` forests have.
+
+    ``rows`` of tile, own, block, c, n, label, bitmap and the classes found ``unlike`` c before.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        tile, own, block, c, n, label = (table.column(k).to_numpy() for k in ("tile", "own", "block", "c", "n", "label"))
-        order = np.argsort(tile, kind="stable")
+        columns = [table.column(k).to_numpy() for k in ("tile", "own", "block", "c", "n", "label")]
+        order = np.argsort(columns[0], kind="stable")
+        tile, own, block, c, n, label = (x[order] for x in columns)
         bits = _bits(table.column("bitmap"))[order]
-        tile, own, block, c, n, label = (x[order] for x in (tile, own, block, c, n, label))
+        unlike = table.column("unlike").take(pa.array(order)).to_pylist()
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
-        found = [np.zeros((0, 2), np.int64)]
+        found: set[tuple[int, int]] = set()
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             split = len(np.unique(block[s:e])) > 1
-            for i in range(s, e):
-                if not own[i]:
-                    continue
-                js = np.arange(s, e)
-                # own pairs once; own with the next band from the own side
-                keep = (label[s:e] != label[i]) & (~own[s:e] | (js > i)) & (whole * np.minimum(n[s:e], n[i]) >= part * np.maximum(n[s:e], n[i]))
-                if split:
-                    keep &= block[s:e] != block[i]
-                js = js[keep]
-                if len(js):
-                    apart = np.bitwise_count(bits[js] ^ bits[i]).sum(1).astype(np.int64)
-                    js = js[_may_link(n[js], n[i], apart, part, whole)]
-                    found.append(np.stack([np.minimum(c[js], c[i]), np.maximum(c[js], c[i])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
+            for _ in range(forests):
+                root = label[s:e].copy()
+                for i in np.flatnonzero(own[s:e]).tolist():
+                    keep = (root != root[i]) & (whole * np.minimum(n[s:e], n[s + i]) >= part * np.maximum(n[s:e], n[s + i]))
+                    if split:
+                        keep &= block[s:e] != block[s + i]
+                    js = np.flatnonzero(keep)
+                    if len(js):
+                        apart = np.bitwise_count(bits[s + js] ^ bits[s + i]).sum(1).astype(np.int64)
+                        likely = _may_link(n[s + js], n[s + i], apart, part, whole)
+                        js, apart = js[likely], apart[likely]
+                    mine = int(c[s + i])
+                    before = unlike[s + i] or ()
+                    for j in js[np.argsort(apart, kind="stable")].tolist() if len(js) else ():
+                        other = int(c[s + j])
+                        pair = (min(mine, other), max(mine, other))
+                        if root[j] != root[i] and pair not in found and other not in before:
+                            found.add(pair)
+                            root[root == root[j]] = root[i]
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     groups = max(1, rows.count() // TILE)
     return rows.withColumn("_group", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("_group").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _tiles(listed: DataFrame) -> DataFrame:
+    """Rows of tile, own, block, c, n, label for the bands of lists that have unlike labels."""
+    open_lists = listed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    left = staged(listed.join(open_lists, "token", "left_semi"), "open")
+    tiled = left.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile_band", F.col("band") - F.when(F.col("own"), 0).otherwise(1))
+    sizes = (
+        tiled.groupBy("token", "tile_band")
+        .agg(F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("own"), 1)).alias("owned"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .where("owned > 0 and lo < hi")
+        .select("token", "tile_band", F.ceil(F.col("g") / TILE).alias("k"))
+    )
+    tiled = tiled.join(sizes, ["token", "tile_band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
+    return tiled.select("*", other).select(
+        F.xxhash64("token", "tile_band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "own", "block", "c", "n", "label"
+    )
+
+
 def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row the group of texts that links reach: the id column, ``n_shingles``, ``component_id``,
     ``stays`` (whether this row is the group's first, by id) and ``row_key``.
@@ -249,28 +279,21 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
 
     pivots = listed.groupBy("token", "band").agg(F.min("c").alias("a"))
     stars = listed.join(pivots, ["token", "band"]).where("a < c").groupBy(F.col("c").alias("b")).agg(F.min("a").alias("a"))
+    stars = staged(stars.select("a", "b"), "stars")
     settings = (several, docs, id_col, text_col, size, part, whole)
-    links = _settled(stars.select("a", "b"), *settings)
-    roots = graph.components(links)
-
-    listed = staged(_labelled(listed, roots), "labelled")
-    open_lists = listed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    left = staged(listed.join(open_lists, "token", "left_semi"), "open")
-    tiled = left.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile_band", F.col("band") - F.when(F.col("own"), 0).otherwise(1))
-    sizes = (
-        tiled.groupBy("token", "tile_band")
-        .agg(F.count(F.lit(1)).alias("g"), F.count(F.when(F.col("own"), 1)).alias("owned"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("owned > 0 and lo < hi")
-        .select("token", "tile_band", F.ceil(F.col("g") / TILE).alias("k"))
-    )
-    tiled = tiled.join(sizes, ["token", "tile_band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
-    tiles = tiled.select("*", other).select(
-        F.xxhash64("token", "tile_band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "own", "block", "c", "n", "label"
-    )
-    with_bits = staged(tiles.join(several.select("c", "bitmap"), "c"), "tiles")
-    more = _settled(staged(_tile_pairs(with_bits, part, whole), "tile-pairs"), *settings)
-    roots = graph.components(links.unionByName(more))
+    tested, links = stars, _settled(stars, *settings)
+    forests = 1
+    while True:
+        roots = graph.components(links)
+        failed = tested.join(links, ["a", "b"], "left_anti")
+        failed = failed.select(F.col("a").alias("c"), F.col("b").alias("u")).union(failed.select("b", "a"))
+        known = several.select("c", "bitmap").join(failed.groupBy("c").agg(F.collect_set("u").alias("unlike")), "c", "left")
+        tiles = staged(_tiles(_labelled(listed, roots)).join(known, "c"), "tiles")
+        pairs = staged(_tile_pairs(tiles, forests, part, whole), "tile-pairs")
+        if pairs.isEmpty():
+            break
+        tested, links = tested.unionByName(pairs), links.unionByName(_settled(pairs, *settings))
+        forests *= 4
 
     named = _labelled(classes.select("c", "h1", "h2", "n", "least"), roots)
     least = named.groupBy("label").agg(F.min("least").alias("first"))
