@@ -224,15 +224,16 @@ def _sorted_out(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame, Dat
     ``rows`` of segments with ``copies``, how many segments of the input each stands for.
     """
     repeated = rows.groupBy("anchor").agg(F.sum("copies").alias("t")).where("t > 1").select("anchor")
-    rows = staged(rows.join(repeated, "anchor", "left_semi"), "repeated")
+    # counts by anchor are written, so that a hot anchor's side of the join can be split
+    rows = staged(rows.join(staged(repeated, "repeated-anchors"), "anchor", "left_semi"), "repeated")
     segments = staged(
         rows.groupBy("anchor", "seg").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "n_bytes", "start", "n", "place")).alias("one")),
         "segments",
     )
-    same = segments.where("copies > 1").select("anchor", "seg")
+    same = segments.where("copies > 1").select("anchor", "seg")  # read from a table, so the join can be split
     equal = rows.where("copies = 1").join(same, ["anchor", "seg"]).select("key", "n_bytes", F.col("start").alias("low"), (F.col("start") + F.col("n") - 1 + length).alias("high"))
     kinds = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
-    unlike = segments.join(kinds.select("anchor", "kinds"), "anchor").select("one.*", "anchor", "copies", "kinds")
+    unlike = segments.join(staged(kinds.select("anchor", "kinds"), "kinds"), "anchor").select("one.*", "anchor", "copies", "kinds")
     return equal, unlike.where(F.col("kinds") <= BLOCK_SEGMENTS), unlike.where(F.col("kinds") > BLOCK_SEGMENTS)
 
 
