@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming, with DataFrame functions only.
 
-Texts are cut into blocks of a fixed size. The distinct blocks are sorted and
-numbered: equal blocks get one number, unequal ones never do. Then adjacent
+Texts are cut into blocks of a fixed size. The distinct blocks are sorted, by a hash
+and then by content, and numbered: equal blocks get one number, unequal ones never do. Then adjacent
 numbers are paired and the distinct pairs sorted and numbered, level by level,
 until each text has one number, its identity. Texts of unlike length or
 checksum are unlike, so only texts that share both are named.
@@ -24,8 +24,10 @@ def _named(values: DataFrame, columns: list[str], level: int) -> DataFrame:
 
     Written, so that the numbers stay the same if tasks are run again.
     """
-    numbered = values.select(*columns).distinct().sort(*columns).withColumn("name", F.monotonically_increasing_id())
-    return staged(numbered, f"names-{level}")
+    distinct = values.select(*columns).distinct().withColumn("_hash", F.xxhash64(*columns))
+    # ranges are of a hash: the driver samples numbers, not blocks
+    ordered = distinct.repartitionByRange("_hash").sortWithinPartitions("_hash", *columns)
+    return staged(ordered.withColumn("name", F.monotonically_increasing_id()).drop("_hash"), f"names-{level}")
 
 
 def identities(texts: DataFrame, max_chars: int) -> DataFrame:
@@ -74,14 +76,15 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "profiles",
     )
-    shared = profile.groupBy("_chars", "_crc").count().where("count > 1").select("_chars", "_crc")
+    # aggregates that rows are joined with are written, so that the rows of a hot group can be split
+    shared = staged(profile.groupBy("_chars", "_crc").count().where("count > 1").select("_chars", "_crc"), "shared")
     alike = staged(profile.join(shared, ["_chars", "_crc"], "left_semi"), "alike")
     most = alike.agg(F.max("_chars")).first()[0] or 0
     rows = docs.select(key.alias("row_key"), doc.alias("_doc"), text.alias("_text"))
     wanted = common.semi_by_id(rows, alike.select("row_key").distinct(), "row_key")
     named = staged(alike.join(identities(wanted, most), "_doc"), "identities")
     groups = named.groupBy("_chars", "_crc", "name").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    grouped = named.join(groups, ["_chars", "_crc", "name"])
+    grouped = named.join(staged(groups, "groups"), ["_chars", "_crc", "name"])
     single = profile.join(shared, ["_chars", "_crc"], "left_anti")
     columns = [F.col("_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256", "row_key"]
     return (
