@@ -23,8 +23,8 @@ from billwright.llm import common, spans
 from billwright.session import staged
 
 #: A segment is closed at so many words, at the end of a document.
-SEGMENT_WORDS = 1_500_000
-BATCH_BYTES = 4 << 20
+SEGMENT_WORDS = 700_000
+BATCH_BYTES = 1 << 20
 
 _ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
