@@ -203,25 +203,37 @@ def _tile_pairs(rows: DataFrame, forests: int, part: int, whole: int) -> DataFra
         found: set[tuple[int, int]] = set()
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             split = len(np.unique(block[s:e])) > 1
+            # what may link is looked up once; forests are grown from it, each of pairs no other has
+            near: list[tuple[int, np.ndarray]] = []
+            for i in np.flatnonzero(own[s:e]).tolist():
+                keep = (label[s:e] != label[s + i]) & (whole * np.minimum(n[s:e], n[s + i]) >= part * np.maximum(n[s:e], n[s + i]))
+                keep &= ~own[s:e] | (np.arange(e - s) > i)  # pairs of owned rows once
+                if split:
+                    keep &= block[s:e] != block[s + i]
+                js = np.flatnonzero(keep)
+                if len(js) and unlike[s + i]:
+                    js = js[~np.isin(c[s + js], unlike[s + i])]
+                if len(js):
+                    apart = np.bitwise_count(bits[s + js] ^ bits[s + i]).sum(1).astype(np.int64)
+                    likely = _may_link(n[s + js], n[s + i], apart, part, whole)
+                    js = js[likely][np.argsort(apart[likely], kind="stable")]
+                if len(js):
+                    near.append((i, js))
             for _ in range(forests):
-                root = label[s:e].copy()
-                for i in np.flatnonzero(own[s:e]).tolist():
-                    keep = (root != root[i]) & (whole * np.minimum(n[s:e], n[s + i]) >= part * np.maximum(n[s:e], n[s + i]))
-                    if split:
-                        keep &= block[s:e] != block[s + i]
-                    js = np.flatnonzero(keep)
-                    if len(js):
-                        apart = np.bitwise_count(bits[s + js] ^ bits[s + i]).sum(1).astype(np.int64)
-                        likely = _may_link(n[s + js], n[s + i], apart, part, whole)
-                        js, apart = js[likely], apart[likely]
-                    mine = int(c[s + i])
-                    before = unlike[s + i] or ()
-                    for j in js[np.argsort(apart, kind="stable")].tolist() if len(js) else ():
-                        other = int(c[s + j])
-                        pair = (min(mine, other), max(mine, other))
-                        if root[j] != root[i] and pair not in found and other not in before:
-                            found.add(pair)
+                if not near:
+                    break
+                root, left = label[s:e].copy(), []
+                for i, js in near:
+                    used = np.zeros(len(js), bool)
+                    for k in np.flatnonzero(root[js] != root[i]).tolist():
+                        j = int(js[k])
+                        if root[j] != root[i]:
+                            used[k] = True
+                            found.add((min(int(c[s + i]), int(c[s + j])), max(int(c[s + i]), int(c[s + j]))))
                             root[root == root[j]] = root[i]
+                    if not used.all():
+                        left.append((i, js[~used]))
+                near = left
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
