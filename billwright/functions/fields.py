@@ -225,7 +225,7 @@ def parse_items(section: Column) -> Column:
     rows = F.transform(F.filter(stripped_lines(section), lambda line: line != ""), read)
     kept = F.filter(rows, lambda r: r.isNotNull() & (F.length(r["description"]) > 0))
     priced = lambda r: F.when(
-        r["total_price"] == 0, F.round(r["quantity"] * r["unit_price"], 2).cast(MONEY)
+        r["total_price"] == 0, F.round(r["quantity"] * r["unit_price"], 2).try_cast(MONEY)
     ).otherwise(r["total_price"])
     return F.transform(
         kept,

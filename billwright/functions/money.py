@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from billwright.config import RETENTION_DAYS
 
 MONEY = "decimal(15,2)"
+#: Percentages in money math; what does not fit is null, and amounts from it can't be stored.
+RATE = "decimal(20,12)"
 
 
 def money(c: Column) -> Column:
@@ -17,18 +19,39 @@ def money(c: Column) -> Column:
 
 
 def share(amount: Column, percent: Column) -> Column:
-    """``percent`` of ``amount``; the rate enters money math as an exact decimal."""
-    rate = percent.cast("string").cast("decimal(9,4)")
-    return F.round(amount * rate * F.lit("0.01").cast("decimal(3,2)"), 2).cast(MONEY)
-
-
-def line_total(quantity: Column, price: Column, discount_rate: Column, tax_rate: Column) -> dict[str, Column]:
-    """discount_amount, tax_amount and total of a line, discount before tax."""
-    base = F.round(quantity * price, 2).cast(MONEY)
-    discount = F.when(discount_rate > 0, share(base, discount_rate)).otherwise(money(F.lit(0)))
-    net = (base - discount).cast(MONEY)
-    tax = F.when(tax_rate > 0, share(net, tax_rate)).otherwise(money(F.lit(0)))
-    return {"discount_amount": discount, "tax_amount": tax, "line_total": (net + tax).cast(MONEY)}
+    """``percent`` of ``amount``, null if it is too large to be stored."""
+    return stored(_exact_share(amount, percent))
+
+
+def stored(amount: Column) -> Column:
+    """An amount rounded once to what a table holds, null if it is too large."""
+    return F.round(amount, 2).try_cast(MONEY)
+
+
+def _exact_share(amount: Column, percent: Column) -> Column:
+    return amount * percent.cast("string").try_cast(RATE) * F.lit("0.01").cast("decimal(3,2)")
+
+
+def line_total(
+    quantity: Column,
+    price: Column,
+    discount_rate: Column,
+    tax_rate: Column,
+    discount_amount: Column | None = None,
+    tax_amount: Column | None = None,
+) -> dict[str, Column]:
+    """discount_amount, tax_amount and total of a line, discount before tax.
+
+    Without a positive rate the stored amount holds. Amounts are exact until
+    they are stored.
+    """
+    kept = lambda c: F.lit(0).cast(MONEY) if c is None else money(c)
+    # narrow enough that products keep 13 places and more
+    base = (quantity * price).try_cast("decimal(20,7)")
+    discount = F.when(discount_rate > 0, _exact_share(base, discount_rate)).otherwise(kept(discount_amount))
+    net = (base - discount).try_cast("decimal(27,13)")
+    tax = F.when(tax_rate > 0, _exact_share(net, tax_rate)).otherwise(kept(tax_amount))
+    return {"discount_amount": stored(discount), "tax_amount": stored(tax), "line_total": stored(net + tax)}
 
 
 def outstanding(total: Column, paid: Column) -> Column:

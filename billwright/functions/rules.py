@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from billwright.config import RuleSet
 from billwright.functions import patterns as p
-from billwright.functions.money import MONEY, money
+from billwright.functions.money import MONEY, RATE, money, stored
 
 ERROR, WARNING, VIOLATION, ISSUE = "error", "warning", "violation", "issue"
 SEVERITIES = (ERROR, WARNING, VIOLATION, ISSUE)
@@ -44,7 +44,7 @@ def _say(*parts: str | Column) -> Column:
 
 
 def _cents(c: Column) -> Column:
-    return F.round(c, 2).cast("decimal(20,2)")
+    return F.coalesce(F.round(c, 2).try_cast("decimal(20,2)").cast("string"), F.lit("too large"))
 
 
 def _given(name: str) -> Column:
@@ -130,7 +130,7 @@ def financial_rules(rules: RuleSet) -> list[Finding]:
 
 def expected_total() -> Column:
     c = lambda k: money(F.col(f"{k}_amount"))
-    return (c("subtotal") + c("tax") + c("shipping") - c("discount")).cast(MONEY)
+    return (c("subtotal") + c("tax") + c("shipping") - c("discount")).try_cast(MONEY)
 
 
 def total_is_off(rules: RuleSet) -> Column:
@@ -139,11 +139,12 @@ def total_is_off(rules: RuleSet) -> Column:
 
 def financial_consistency(rules: RuleSet) -> list[Finding]:
     total, tax = money(F.col("total_amount")), money(F.col("tax_amount"))
-    rate = F.col("tax_rate").cast("string").cast("decimal(12,8)")
+    rate = F.col("tax_rate").cast("string").try_cast(RATE)
     due = F.col("subtotal_amount") * rate * F.lit("0.01").cast("decimal(3,2)")
     taxed = (F.col("tax_rate") > 0) & (F.col("subtotal_amount") > 0)
     rule = "financial_consistency"
     return [
+        Finding(rule, ERROR, expected_total().isNull(), _say("Amounts are too large to be added up")),
         Finding(
             rule,
             ISSUE,
@@ -168,6 +169,7 @@ def line_sum_rules(rules: RuleSet) -> list[Finding]:
     n, subtotal = F.col("line_count"), F.col("subtotal_amount")
     lines = money(F.col("line_sum"))
     return [
+        Finding("line_item_rules", ERROR, (n > 0) & F.col("line_sum").isNull(), _say("Line items total is too large to be stored")),
         Finding(
             "line_item_rules", VIOLATION, n > rules.max_line_items, _say("Too many line items: ", n, f" > {rules.max_line_items}")
         ),
@@ -217,6 +219,7 @@ def line_rules(rules: RuleSet, line: Column | None = None) -> list[Finding]:
         Finding(rule, ERROR, qty0 <= 0, _say(*start, "Invalid quantity: ", qty0)),
         Finding(rule, ERROR, price < 0, _say(*start, "Negative unit price: $", _cents(price))),
         Finding(rule, ERROR, total < 0, _say(*start, "Negative total price: $", total)),
+        Finding(rule, ERROR, due.isNotNull() & stored(due).isNull(), _say(*start, "Amount is too large to be stored")),
         Finding(
             rule,
             ISSUE,

@@ -58,27 +58,48 @@ CUSTOMER = Party(
 )
 
 
+#: Letters of the parts that stored names are listed under.
+GRAM = 4
+
+
 def active(dimension: DataFrame) -> DataFrame:
     return dimension.where(F.col("is_active"))
 
 
-def name_parts(dimension: DataFrame, names: DataFrame) -> DataFrame:
-    """tenant_id, part, id: every part of a stored name as long as one of ``names``.
+def blank_keys(invoices: DataFrame, party: Party) -> DataFrame:
+    """The invoices with '' for null in the columns that tell parties apart, so that equality joins find them."""
+    keys = [k for k in party_keys(party) if k != "tenant_id"]
+    return invoices.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct parts of ``size`` letters, none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    parts = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, parts).otherwise(F.array().cast("array<string>"))
+
 
-    A stored name holds a searched one exactly when it is one of its parts, so
-    the containment search becomes an equality join. The lengths searched for
-    are one array, no longer than the longest name.
+def name_hits(dimension: DataFrame, names: DataFrame) -> DataFrame:
+    """tenant_id, part, id: the stored names that hold each of the searched ``names`` (tenant_id, part).
+
+    Stored names are listed under their parts of ``GRAM`` letters. A searched
+    name looks under its rarest part only, and what it finds is checked. Names
+    shorter than a part are looked up among the parts of their length.
     """
-    lengths = names.agg(F.collect_set(F.length("part"))).scalar()
-    stored = active(dimension).select("tenant_id", "id", F.lower("name").alias("stored")).withColumn("lengths", lengths)
-    sized = stored.select(
-        "tenant_id", "id", "stored", F.explode(F.filter("lengths", lambda n: n <= F.length("stored"))).alias("n")
-    )
-    return sized.select(
-        "tenant_id",
-        "id",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("stored") - F.col("n") + 1), lambda i: F.substring("stored", i, F.col("n")))).alias("part"),
+    stored = active(dimension).select("tenant_id", "id", F.lower("name").alias("stored"))
+    listed = stored.select("*", F.explode(_grams(F.col("stored"), GRAM)).alias("gram"))
+    counts = listed.groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.where(F.length("part") >= GRAM).select("*", F.explode(_grams(F.col("part"), GRAM)).alias("gram"))
+    rarest = (
+        asked.join(counts, ["tenant_id", "gram"], "left")  # a part that no name has is the rarest
+        .groupBy("tenant_id", "part")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).getField("gram").alias("gram"))
     )
+    found = rarest.join(listed, ["tenant_id", "gram"]).where(F.col("stored").contains(F.col("part")))
+    short = names.where(F.length("part").between(1, GRAM - 1))
+    all_short = F.flatten(F.array(*[_grams(F.col("stored"), n) for n in range(1, GRAM)]))
+    short_found = stored.select("tenant_id", "id", F.explode(all_short).alias("part")).join(short, ["tenant_id", "part"], "left_semi")
+    return found.select("tenant_id", "part", "id").unionByName(short_found.select("tenant_id", "part", "id"))
 
 
 def match_parties(parties: DataFrame, dimension: DataFrame, party: Party) -> DataFrame:
@@ -102,7 +123,7 @@ def match_parties(parties: DataFrame, dimension: DataFrame, party: Party) -> Dat
         labels.append(in_table)
     named = parties.where(F.length(party.name) > 0)
     names = named.select("tenant_id", F.lower(party.name).alias("part")).distinct()
-    by_name = name_parts(dimension, names).groupBy("tenant_id", "part").agg(F.min("id").alias("_id_name"))
+    by_name = name_hits(dimension, names).groupBy("tenant_id", "part").agg(F.min("id").alias("_id_name"))
     by_name = by_name.withColumnRenamed("part", "_part")
     found = found.withColumn("_part", filled(F.lower(party.name))).join(by_name, ["tenant_id", "_part"], "left").drop("_part")
     ids, labels = [*ids, "_id_name"], [*labels, "name"]
@@ -118,7 +139,7 @@ def match_parties(parties: DataFrame, dimension: DataFrame, party: Party) -> Dat
 def name_candidates(parties: DataFrame, dimension: DataFrame, party: Party, limit: int = 5) -> DataFrame:
     """Up to ``limit`` stored rows whose name holds the searched name, per distinct name."""
     names = parties.where(F.length(party.name) > 0).select("tenant_id", F.lower(party.name).alias("part")).distinct()
-    hits = name_parts(dimension, names).distinct().join(names, ["tenant_id", "part"])
+    hits = name_hits(dimension, names)
     rank = F.row_number().over(Window.partitionBy("tenant_id", "part").orderBy("id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).withColumnRenamed("part", "searched_name")
 
@@ -129,7 +150,7 @@ def party_keys(party: Party) -> list[str]:
 
 def resolve(invoices: DataFrame, dimension: DataFrame, party: Party, stored_columns: list[str]) -> DataFrame:
     """Invoices with match_id, matched_by and ``stored_columns`` of the match as ``stored_<name>``."""
-    keys = party_keys(party)
+    keys, invoices = party_keys(party), blank_keys(invoices, party)
     parties = staged(invoices.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "parties")
     matched = match_parties(parties, dimension, party)
     stored = dimension.select(F.col("id").alias("match_id"), *[F.col(c).alias(f"stored_{c}") for c in stored_columns])
@@ -195,7 +216,7 @@ def upsert(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame
     without a match become one new row per tenant and name, from the smallest
     invoice_key.
     """
-    keys = party_keys(party)
+    keys, invoices = party_keys(party), blank_keys(invoices, party)
     at = F.struct("created_at", "invoice_key")
     latest, first = [], []
     for source, target in party.attributes:

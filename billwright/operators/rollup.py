@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from billwright.functions import money as m
 
 
+#: Sums of money over many invoices.
+SUM = "decimal(25,2)"
+
+
 def invoice_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Amounts worked out again from the lines; an invoice without lines keeps its own."""
     sums = lines.groupBy("invoice_key").agg(
-        F.sum("total_price").cast(m.MONEY).alias("line_sum"), F.count(F.lit(1)).alias("line_items_count")
+        F.sum("total_price").try_cast(m.MONEY).alias("line_sum"), F.count(F.lit(1)).alias("line_items_count")
     )
     has_lines = F.col("line_sum").isNotNull()
     tax = F.when(F.col("tax_rate") > 0, m.share(F.col("line_sum"), F.col("tax_rate"))).otherwise(m.money(F.col("tax_amount")))
@@ -30,13 +34,15 @@ def invoice_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
         "tenant_id",
         F.col("new_subtotal").alias("subtotal_amount"),
         F.col("new_tax").alias("tax_amount"),
-        F.when(has_lines, total.cast(m.MONEY)).otherwise(F.col("total_amount")).alias("total_amount"),
+        F.when(has_lines, total.try_cast(m.MONEY)).otherwise(F.col("total_amount")).alias("total_amount"),
         F.coalesce("line_items_count", F.lit(0)).alias("line_items_count"),
     )
 
 
 def line_totals(lines: DataFrame) -> DataFrame:
-    parts = m.line_total(F.col("quantity"), F.col("unit_price"), F.col("discount_rate"), F.col("tax_rate"))
+    amount = lambda k: F.col(k) if k in lines.columns else None
+    rates = (F.col("quantity"), F.col("unit_price"), F.col("discount_rate"), F.col("tax_rate"))
+    parts = m.line_total(*rates, amount("discount_amount"), amount("tax_amount"))
     return lines.select("invoice_key", "line_id", *[c.alias(k) for k, c in parts.items()])
 
 
@@ -52,7 +58,7 @@ def vendor_statistics(headers: DataFrame, companies: DataFrame) -> DataFrame:
         "tenant_id",
         "name",
         F.coalesce("invoice_count", F.lit(0)).alias("invoice_count"),
-        m.money(F.col("total_amount")).alias("total_amount"),
+        F.coalesce(F.col("total_amount"), F.lit(0)).cast(SUM).alias("total_amount"),
         "last_invoice_date",
     )
 
@@ -71,9 +77,9 @@ def customer_statistics(headers: DataFrame, customers: DataFrame) -> DataFrame:
         customers.id.alias("customer_id"),
         "tenant_id",
         F.coalesce("invoice_count", F.lit(0)).alias("invoice_count"),
-        m.money(billed).alias("total_billed"),
-        m.money(paid).alias("total_paid"),
-        m.outstanding(billed, paid).alias("outstanding_balance"),
+        billed.cast(SUM).alias("total_billed"),
+        paid.cast(SUM).alias("total_paid"),
+        (billed - paid).cast(SUM).alias("outstanding_balance"),
         "last_invoice_date",
         "last_payment_date",
     )
@@ -122,7 +128,7 @@ def reconcile_totals(headers: DataFrame) -> DataFrame:
     c = F.col
     expected = (
         m.money(c("subtotal_amount")) + m.money(c("tax_amount")) + m.money(c("shipping_amount")) - m.money(c("discount_amount"))
-    ).cast(m.MONEY)
+    ).try_cast(m.MONEY)
     wrong = (m.money(c("total_amount")) == 0) | (F.abs(m.money(c("total_amount")) - expected) > F.lit("0.01").cast(m.MONEY))
     missing_rate = (F.coalesce("tax_rate", F.lit(0.0)) == 0) & (c("subtotal_amount") > 0) & (c("tax_amount") > 0)
     rate = c("tax_amount").cast("double") / c("subtotal_amount").cast("double") * 100

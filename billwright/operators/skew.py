@@ -5,40 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most this many keys are salted, so the list of them can be broadcast.
-HEAVY_KEYS = 200
-SALTS = 64
+#: Rows of a key that one task may hold; a key with more is spread over more tasks.
+ROWS_A_TASK = 100_000
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], row_id: Column, min_rows: int = 100_000) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], row_id: Column, min_rows: int = ROWS_A_TASK) -> DataFrame:
     """``rows`` left-joined to ``per_key``, which holds one row per key and its row count ``n``.
 
-    The keys with the most rows are spread over ``SALTS`` tasks by ``row_id``
-    and their one ``per_key`` row is copied to each. A key outside the top
-    ``HEAVY_KEYS`` has less than 1/HEAVY_KEYS of all rows, so it needs no salt.
-    Null keys join nothing. ``n`` is kept.
+    A key with at least ``min_rows`` rows is spread by ``row_id`` over one
+    task for each ``min_rows`` of them, and its one ``per_key`` row is copied
+    to each. Which keys these are is joined first; there are at most as many
+    as rows by ``min_rows``. Null keys join nothing. ``n`` is kept.
     """
-    heavy = (
-        per_key.where(F.col("n") >= min_rows)
-        .orderBy(F.desc("n"))
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.lit(True).alias("_heavy"))
-    )
-    heavy = F.broadcast(heavy)
-    is_heavy = F.coalesce("_heavy", F.lit(False))
+    salts = F.ceil(F.col("n") / min_rows).cast("long")
+    heavy = per_key.where(F.col("n") >= min_rows).select(*keys, salts.alias("_salts"))
+    salted = rows.join(heavy, keys, "left")
     # Rows without a full key are spread too: they would all hash to one task.
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    left = (
-        rows.join(heavy, keys, "left")
-        .withColumn("_salt", F.when(is_heavy | no_key, F.pmod(F.xxhash64(row_id), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-        .drop("_heavy")
-    )
-    salts = F.when(is_heavy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(
-        F.array(F.lit(0).cast("long"))
-    )
-    right = per_key.join(heavy, keys, "left").withColumn("_salt", F.explode(salts)).drop("_heavy")
+    spread = F.coalesce("_salts", F.when(no_key, F.lit(64).cast("long")), F.lit(1).cast("long"))
+    left = salted.withColumn("_salt", F.pmod(F.xxhash64(row_id), spread)).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("long"), F.when(F.col("n") >= min_rows, salts).otherwise(1).cast("long") - 1)
+    right = per_key.withColumn("_salt", F.explode(copies))
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
 
 

@@ -49,7 +49,7 @@ def summarize_lines(lines: DataFrame, rules: RuleSet) -> DataFrame:
     repeats = F.when(F.col("named") != "", F.col("n") - 1).otherwise(0)
     return per_text.groupBy("invoice_key").agg(
         F.sum("n").alias("line_count"),
-        F.sum("total").cast(MONEY).alias("line_sum"),
+        F.sum("total").try_cast(MONEY).alias("line_sum"),
         (F.sum("confidence").cast("double") / F.sum("n")).alias("line_items_confidence"),
         F.sum("errors").alias("line_errors"),
         F.sum("issues").alias("line_issues"),
@@ -66,7 +66,7 @@ def summarize_nested_lines(items: Column, rules: RuleSet) -> dict[str, Column]:
     zero = F.lit(0).cast("decimal(25,2)")
     return {
         "line_count": F.size(items),
-        "line_sum": F.aggregate(items, zero, lambda acc, x: (acc + x["total_price"]).cast("decimal(25,2)")).cast(MONEY),
+        "line_sum": F.aggregate(items, zero, lambda acc, x: (acc + x["total_price"]).cast("decimal(25,2)")).try_cast(MONEY),
         "line_errors": total(r.ERROR),
         "line_issues": total(r.ISSUE),
         "line_repeats": F.size(names) - F.size(F.array_distinct(names)),

@@ -42,7 +42,7 @@ def customer_statistics(spark, sf_dir):
                   FROM {line_items_noisy} GROUP BY invoice_key),
             t AS (SELECT h.*, n, coalesce(line_sum, subtotal_amount) AS sub,
                          cast(CASE WHEN n IS NULL OR tax_rate <= 0 THEN tax_amount
-                              ELSE round(line_sum * cast(cast(tax_rate as string) as decimal(9,4)) * cast(0.01 as decimal(3,2)), 2) END
+                              ELSE round(cast(line_sum as decimal(20,2)) * cast(cast(tax_rate as string) as decimal(18,12)) * cast(0.01 as decimal(3,2)), 2) END
                               as decimal(15,2)) AS tax
                   FROM {invoice_headers} h LEFT JOIN s ON s.invoice_key = h.invoice_key)
        SELECT invoice_key, tenant_id, cast(sub as double) AS subtotal_amount, cast(tax as double) AS tax_amount,
@@ -56,13 +56,13 @@ def invoice_totals(spark, sf_dir):
 
 @query(
     "line_totals",
-    """WITH b AS (SELECT invoice_key, line_id, cast(round(quantity * unit_price, 2) as decimal(15,2)) AS base,
-                         cast(cast(discount_rate as string) as decimal(9,4)) AS dr, cast(cast(tax_rate as string) as decimal(9,4)) AS tr
+    """WITH b AS (SELECT invoice_key, line_id, cast(quantity * unit_price as decimal(20,7)) AS base,
+                         cast(cast(discount_rate as string) as decimal(9,6)) AS dr, cast(cast(tax_rate as string) as decimal(9,6)) AS tr
                   FROM {line_items}),
-            d AS (SELECT *, cast(round(base * dr * cast(0.01 as decimal(3,2)), 2) as decimal(15,2)) AS disc FROM b),
-            t AS (SELECT *, cast(round(cast(base - disc as decimal(15,2)) * tr * cast(0.01 as decimal(3,2)), 2) as decimal(15,2)) AS tax FROM d)
-       SELECT invoice_key, line_id, cast(disc as double) AS discount_amount, cast(tax as double) AS tax_amount,
-              cast(base - disc + tax as double) AS line_total FROM t""",
+            d AS (SELECT *, base - base * dr * cast(0.01 as decimal(3,2)) AS net FROM b),
+            t AS (SELECT *, cast(net as decimal(28,15)) * cast(tr as decimal(8,4)) * cast(0.01 as decimal(3,2)) AS tax FROM d)
+       SELECT invoice_key, line_id, cast(round(base - net, 2) as double) AS discount_amount, cast(round(tax, 2) as double) AS tax_amount,
+              cast(round(net + tax, 2) as double) AS line_total FROM t""",
 )
 def line_totals(spark, sf_dir):
     return dates_as_text(rollup.line_totals(table(spark, sf_dir, "line_items")))

@@ -269,7 +269,7 @@ _PROCESSED = f"""{_SOURCE},
                  - issues * 0.1::double - warnings * 0.05::double)) AS confidence_score FROM k),
     v AS (SELECT *, n = 0 OR errors > 0 OR violations > 0 OR confidence_score < 0.7 OR issues >= 3 AS review,
                  CASE WHEN n > 0 THEN line_sum ELSE subtotal_amount END AS fs,
-                 cast(CASE WHEN n > 0 AND rate > 0 THEN round(line_sum * cast(cast(rate as string) as decimal(9,4)) * cast(0.01 as decimal(3,2)), 2)
+                 cast(CASE WHEN n > 0 AND rate > 0 THEN round(cast(line_sum as decimal(20,2)) * cast(cast(rate as string) as decimal(18,12)) * cast(0.01 as decimal(3,2)), 2)
                            ELSE tax_amount END as decimal(15,2)) AS ft FROM z)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,8 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
+    scratch = tempfile.mkdtemp(prefix="billwright-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("billwright")
@@ -19,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", scratch)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,15 +33,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Only a local master without that setting (tests) falls back to a
-    temporary folder of this machine.
+    Only a local master without that setting gets one for the session, a
+    temporary folder of this machine that goes when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
-        base = _LOCAL_FOLDERS.setdefault(app, tempfile.mkdtemp(prefix="billwright-"))
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="billwright-")
+            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
+        base = _LOCAL_FOLDERS[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -364,12 +364,13 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("Total: "), money("total_amount")),
             "payment_terms",
         ).alias("text"),
-    ).repartition(_text_tasks(spark), "invoice_key")
+    ).repartition(_text_tasks(spark, sf_dir), "invoice_key")
 
 
-def _text_tasks(spark: SparkSession) -> int:
-    """Tasks for text work: a fixed number, because sizes alone would merge them."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def _text_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for text work: as many as the lines are read by, so they grow with the table; sizes alone would merge them."""
+    read = read_table(spark, sf_dir, "lineitem").rdd.getNumPartitions()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, read)
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

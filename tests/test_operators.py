@@ -7,10 +7,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from billwright.functions import checks
+from billwright.functions import checks, money
 from billwright.functions.similarity import name_similarity
 from billwright.functions.text import word_set
-from billwright.operators import blocks, duplicates, listing, match, party_duplicates, skew
+from billwright.operators import blocks, duplicates, listing, match, party_duplicates, process, skew
 from billwright.sources import files
 from billwright.streaming.lockouts import _login, lockouts
 
@@ -86,8 +86,7 @@ def test_name_similarity(spark):
     assert [r[0] for r in df.select(score).collect()] == [1.0, 0.8, 0.5, 0.8]
 
 
-def test_attach_salts_heavy_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_KEYS", 2)
+def test_attach_salts_heavy_keys(spark):
     rows = spark.range(2000).select(
         "id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("k")
     )
@@ -145,10 +144,9 @@ def test_upsert_takes_newest_values_and_collapses_new_names(spark):
     assert (new.name, new.email, new.is_new) == (" fresh co ", "a@x.com", True)
 
 
-def test_long_invoices_are_split_into_parts(spark, monkeypatch):
-    monkeypatch.setattr(listing, "LINES_PER_DOCUMENT", 10)
-    lines = spark.range(250).select(
-        F.when(F.col("id") < 240, 1).otherwise(2).alias("invoice_key"),
+def test_an_invoice_has_one_document_whatever_its_lines(spark):
+    lines = spark.range(2500).select(
+        F.when(F.col("id") < 2400, 1).otherwise(2).alias("invoice_key"),
         F.format_string("%05d", "id").alias("line_id"),
         F.col("id").cast("int").alias("line_number"),
         F.lit("d").alias("description"),
@@ -156,11 +154,66 @@ def test_long_invoices_are_split_into_parts(spark, monkeypatch):
         *[F.lit(1).cast("decimal(15,2)").alias(c) for c in ("quantity", "unit_price", "total_price")],
         *[F.lit(0.0).alias(c) for c in ("tax_rate", "discount_rate")],
     )
-    rows = listing.nested_lines(lines).collect()
-    seen = sorted(x.line_id for r in rows for x in r.line_items)
-    assert len(seen) == 250 and len(set(seen)) == 250
-    assert max(len(r.line_items) for r in rows) < 30
-    assert {r.parts for r in rows if r.invoice_key == 1} == {24}
+    rows = {r.invoice_key: r.line_items for r in listing.nested_lines(lines).collect()}
+    assert {k: len(v) for k, v in rows.items()} == {1: 2400, 2: 100}
+    assert [x.line_number for x in rows[1]] == list(range(2400))
+
+
+def _checked(spark, texts):
+    df = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "invoice_key long, tenant_id string, text string")
+    return process.checked_records(df.withColumn("created_at", F.current_timestamp()), date(2000, 6, 1))
+
+
+def test_no_text_ends_a_job(spark):
+    head = "ACME Tools Inc\n12 Main Street\nINVOICE\nInvoice Number: INV-1\nDate: 2000-01-02\n"
+    texts = [
+        head + "Subtotal: $1.00\nTax: $250.00\nTotal: $251.00",
+        head + "Description Qty Price Total\nwidget 2 3.00 6.00\nTax Rate: 2000000%\nTotal: $6.00",
+        head + "Description Qty Price Total\nwidget 9999999 99999999999 0\nTotal: $5.00",
+        head + "Subtotal: $9999999999999.99\nTax: $9999999999999.99\nTotal: $1.00",
+        "",
+    ]
+    rows = {r.invoice_key: r for r in _checked(spark, texts).collect()}
+    assert len(rows) == 5
+    assert (rows[0].tax_rate, str(rows[0].final_total)) == (25000.0, "251.00")
+    assert rows[2].final_total is None and rows[2].processing_status == "failed"
+    assert rows[3].errors == 1
+
+
+def test_money_is_exact_until_it_is_stored(spark):
+    dec = lambda v, t: F.lit(v).cast(t)
+    amount = lambda v: dec(v, "decimal(15,2)")
+    line = money.line_total(dec("1", "decimal(10,3)"), dec("10.0050", "decimal(15,4)"), F.lit(10.0), F.lit(0.0))
+    kept = money.line_total(dec("3", "decimal(10,3)"), dec("1.1111", "decimal(15,4)"), F.lit(0.0), F.lit(0.0), amount("0.50"), amount("0.25"))
+    got = spark.range(1).select(
+        money.share(amount("400000.00"), F.lit(8.333333)).alias("a"),
+        money.share(amount("300000.00"), F.lit(25000 / 300000 * 100)).alias("b"),
+        line["line_total"].alias("c"),
+        kept["line_total"].alias("d"),
+        money.share(amount("9999999999999.99"), F.lit(5000.0)).alias("e"),
+    )
+    assert [None if v is None else str(v) for v in got.first()] == ["33333.33", "25000.00", "9.00", "3.08", None]
+
+
+@pytest.mark.parametrize("tax_id", [None, ""])
+def test_parties_with_null_keys_are_matched(spark, tax_id):
+    columns = "invoice_key long, tenant_id string, vendor_name string, vendor_tax_id string, vendor_email string, vendor_phone string, vendor_address_line1 string"
+    invoices = spark.createDataFrame([(1, "t", "Acme", tax_id, None, None, None), (2, "t", "co", tax_id, None, None, None)], columns)
+    stored = "id string, tenant_id string, name string, tax_id string, email string, phone string, address_line1 string, is_active boolean"
+    dim = spark.createDataFrame([("c2", "t", "ACME Tools Co", "", "", "", "", True), ("c1", "u", "Acme", "", "", "", "", True)], stored)
+    got = {r.invoice_key: r.existing_company_id for r in match.resolve_vendors(invoices, dim).collect()}
+    assert got == {1: "c2", 2: "c2"}
+
+
+def test_names_are_found_inside_names(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abc ") for _ in range(n))
+    stored = [(f"s{i:03d}", f"t{i % 2}", word(rnd.randint(0, 12)), True) for i in range(120)]
+    asked = sorted({(f"t{rnd.randint(0, 1)}", word(rnd.randint(1, 7))) for _ in range(80)})
+    dim = spark.createDataFrame(stored, "id string, tenant_id string, name string, is_active boolean")
+    names = spark.createDataFrame(asked, "tenant_id string, part string")
+    got = sorted(map(tuple, match.name_hits(dim, names).collect()))
+    assert got == sorted((t, p, i) for t, p in asked for i, u, n, _ in stored if t == u and p in n)
 
 
 def test_duplicates_never_point_at_themselves_or_across_tenants(spark):

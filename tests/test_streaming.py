@@ -1,5 +1,6 @@
 """Streams fed by several files in several triggers give the batch result."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from billwright.session import shared_folder
@@ -34,16 +35,26 @@ def test_lockouts(spark):
     assert expected.count() > 0
 
 
-def test_requests_per_user(spark):
-    state = shared_folder(spark, "state")
-    stream = jobs.requests_per_user(arriving(spark, access_log(spark), "ts"))
-    closed = jobs.run_append(stream, shared_folder(spark, "out"), state).select("window.start", "user_id", "requests")
-    opened = spark.read.format("statestore").load(state).select("key.window.start", "key.user_id", F.col("value.count").alias("requests"))
-    got = sorted(map(tuple, closed.union(opened).collect()))
+def test_requests_per_user_in_any_order(spark):
+    """A table, and a stream of many files out of time order, both count every row."""
     calls = access_log(spark).where("action = 'api_request'")
     expected = calls.groupBy(F.window("ts", "1 hour").start.alias("start"), "user_id").count()
-    assert got == sorted(map(tuple, expected.collect()))
-    assert closed.count() > 0 and opened.count() > 0
+    expected = sorted(map(tuple, expected.collect()))
+    stored = jobs.requests_per_user(access_log(spark)).select("window.start", "user_id", "requests")
+    assert sorted(map(tuple, stored.collect())) == expected
+    shuffled = arriving(spark, access_log(spark), F.xxhash64("event_id"), parts=12)
+    state = jobs.run_update(jobs.requests_per_user(shuffled), shared_folder(spark, "state"))
+    counted = state.select("key.window.start", "key.user_id", F.col("value.count").alias("requests"))
+    assert sorted(map(tuple, counted.collect())) == expected
+
+
+def test_a_watermark_bounds_the_state(spark):
+    stream = jobs.requests_per_user(arriving(spark, access_log(spark), "ts"), late="1 hour")
+    closed = jobs.run_append(stream, shared_folder(spark, "out"), shared_folder(spark, "state"))
+    calls = access_log(spark).where("action = 'api_request'")
+    every = {tuple(r) for r in calls.groupBy(F.window("ts", "1 hour").start.alias("start"), "user_id").count().collect()}
+    got = {tuple(r) for r in closed.select("window.start", "user_id", "requests").collect()}
+    assert got and got < every
 
 
 def test_latest_status(spark):
@@ -54,13 +65,14 @@ def test_latest_status(spark):
     assert got == {r.invoice_key: (r.process_stage, r.logs) for r in batch}
 
 
-def test_new_files(spark):
+@pytest.mark.parametrize("order", ["invoice_key", "file_hash"])
+def test_new_files(spark, order):
     rows = spark.range(400).select(
         F.col("id").alias("invoice_key"),
         F.lit("t").alias("tenant_id"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 90).cast("string")).alias("file_hash"),
         F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("created_at"),
     )
-    stream = jobs.new_files(arriving(spark, rows, "invoice_key"))
+    stream = jobs.new_files(arriving(spark, rows, order))
     got = jobs.run_append(stream, shared_folder(spark, "out"), shared_folder(spark, "state"))
     assert sorted(r.file_hash for r in got.collect()) == sorted(r.file_hash for r in rows.select("file_hash").distinct().collect())
