@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billwright.llm import bpe, decontaminate, exact_dedup, language, license_scan, license_texts, line_dedup, ngram_join, passages, token_counts, toxicity
+from billwright.llm import bpe, decontaminate, exact_dedup, language, license_scan, license_texts, line_dedup, ngram_join, passages, periodic, prefix_trie, token_counts, toxicity, warc
 from billwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,62 @@ SELECT page_id, host, len(lines) AS n_lines, len(list_filter(lines, lambda x: li
        array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)), chr(10)) AS text
 FROM lined LEFT JOIN drop_list USING (host)
 """
+
+
+@query
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), warc.archive_folder(spark), least=100)
+
+
+ORACLES["op11_warc_archive"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), group=5, heads=9)
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH turn_row AS (
+  SELECT conv_id AS c, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS t,
+         strlen(coalesce(text, '')) AS b,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1),
+              lambda i: [CAST(ascii(CAST(c AS VARCHAR)[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turn_row)
+), piece AS (
+  SELECT conv.c, 0 AS part, p, t, b FROM conv JOIN turn_row r ON r.c = conv.c - conv.c % 5 AND r.p <= h
+  UNION ALL SELECT conv.c, 1, p, t, b FROM conv JOIN turn_row r ON r.c = conv.c AND r.p > h
+), built AS (
+  SELECT conv.c, list({'t': t, 'b': b} ORDER BY part, p) FILTER (WHERE t IS NOT NULL) AS s FROM conv LEFT JOIN piece USING (c) GROUP BY conv.c
+), prefix AS (
+  SELECT c, d, coalesce(len(s), 0) = d AS ends, coalesce(list_transform(s[1 : d], lambda x: x.t), CAST([] AS VARCHAR[])) AS k, CASE WHEN d > 0 THEN s[d].b ELSE 0 END AS b
+  FROM built, unnest(range(0, coalesce(len(s), 0) + 1)) AS r(d)
+), node AS (
+  SELECT d, k, min(c) AS c, count(*) AS n, any_value(b) AS b, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS e
+  FROM prefix GROUP BY d, k
+), child AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+under AS (
+  SELECT u AS d, node.k[1 : u] AS k, sum((node.n - 1) * node.b) AS saved, count(*) FILTER (WHERE child.n IS NULL) AS leaves
+  FROM node LEFT JOIN child ON child.d = node.d AND child.k = node.k, unnest(range(0, node.d + 1)) AS r(u) GROUP BY ALL
+)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(child.n, 0) AS n_children,
+       under.leaves AS n_leaves, CAST(under.saved AS BIGINT) AS saved_tokens, sha256(node.e) AS ends_sha256
+FROM node JOIN under ON under.d = node.d AND under.k = node.k
+LEFT JOIN child ON child.d = node.d AND child.k = node.k LEFT JOIN node up ON up.d = node.d - 1 AND up.k = node.k[1 : node.d - 1]
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("checksum", F.crc32(F.col("doc_id").cast("string")))
+    return periodic.collapse_runs(docs, exponent=4, least=6, loop="checksum", texts=False)
