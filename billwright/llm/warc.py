@@ -1,7 +1,7 @@
 """WARC archives as a PySpark Python data source, and an archive of pages.
 
 Reading plans partitions from whole files, packed up to a size. Predicates on
-record type and other header columns are pushed down: a task parses a record's
+record type and other header columns can be pushed down: a task parses a record's
 headers first and goes past the payload of a record that does not match. An
 uncompressed payload is passed by a seek. Compressed records are gzip members
 of their own whose header has the lengths of the member (the field ``sl``), so
@@ -92,7 +92,7 @@ class _Member(io.RawIOBase):
                 pass
         if flags & 2:
             file.read(2)
-        self.inflate, self.kept, self.end = zlib.decompressobj(-15), b"", None
+        self.inflate, self.kept, self.end, self.check = zlib.decompressobj(-15), b"", None, 0
 
     def readable(self) -> bool:
         return True
@@ -102,9 +102,16 @@ class _Member(io.RawIOBase):
             data = self.inflate.unconsumed_tail or self.file.read1(1 << 14)
             if not data:
                 raise ValueError(f"the gzip member at {self.start} has no end")
-            self.kept = self.inflate.decompress(data, 1 << 16)
+            try:
+                self.kept = self.inflate.decompress(data, 1 << 16)
+            except zlib.error as problem:
+                raise ValueError(str(problem)) from None
+            self.check = zlib.crc32(self.kept, self.check)
             if self.inflate.eof:
                 self.end = self.file.tell() - len(self.inflate.unused_data) + 8
+                trailer = self.inflate.unused_data[:4]
+                if int.from_bytes(trailer + self.file.read(4 - len(trailer)), "little") != self.check:
+                    raise ValueError("the gzip member's checksum differs")
         n = min(len(out), len(self.kept))
         out[:n], self.kept = self.kept[:n], self.kept[n:]
         return n
@@ -189,21 +196,15 @@ def _pushable(condition: ds.Filter) -> bool:
 
 class WarcReader(ds.DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
+        options = {k.lower(): v for k, v in options.items()}
         self.path = options["path"]
-        self.partition_bytes = int(options.get("maxPartitionBytes", PARTITION_BYTES))
+        self.partition_bytes = int(options.get("maxpartitionbytes", PARTITION_BYTES))
         self.schema = schema
         unknown = set(schema.names) - set(SCHEMA.names)
         if unknown:
             raise ValueError(f"no such columns of a WARC record: {sorted(unknown)}")
         self.conditions: list[ds.Filter] = []
 
-    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
-        for one in filters:
-            if _pushable(one):
-                self.conditions.append(one)
-            else:
-                yield one
-
     def partitions(self) -> list[WarcFiles]:
         """Files in order of path, small ones together; a file is never split, writers keep files small."""
         system, root = _filesystem(self.path)
@@ -280,11 +281,24 @@ class WarcReader(ds.DataSourceReader):
             row["payload_length"] = whole if revisit else rest
             if "payload" in wanted and not revisit:
                 row["payload"] = body.read(rest)
-                if len(row["payload"]) < rest:
+                if len(row["payload"]) < rest or body.read(4) != b"\r\n\r\n":
                     raise ValueError("the record is cut short")
+                if not plain:
+                    body.read(1)  # to the end of the member, where its checksum is
         return row, after
 
 
+class PushingReader(WarcReader):
+    """A reader that takes predicates on header columns over from Spark."""
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
+        for one in filters:
+            if _pushable(one):
+                self.conditions.append(one)
+            else:
+                yield one
+
+
 # writing
 
 
@@ -342,10 +356,11 @@ class WarcWriter(ds.DataSourceArrowWriter):
     """
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
+        options = {k.lower(): v for k, v in options.items()}
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.packed = options.get("compression", "gzip").lower() == "gzip"
         self.level = int(options.get("level", "1"))
-        self.file_bytes = int(options.get("maxFileBytes", PARTITION_BYTES))
+        self.file_bytes = int(options.get("maxfilebytes", PARTITION_BYTES))
         self.date = options.get("date", "1970-01-01T00:00:00Z")
         self.job = f"_job-{uuid.uuid4().hex}"
         unknown = set(schema.names) - {*HEADERS, "payload", "payload_length"}
@@ -398,7 +413,16 @@ class WarcWriter(ds.DataSourceArrowWriter):
 
 
 class WarcDataSource(ds.DataSource):
-    """``spark.read.format("warc")``; a schema of fewer columns reads only those, payloads among them."""
+    """``spark.read.format("warc")``; a schema of fewer columns reads only those, payloads among them.
+
+    Options: ``maxPartitionBytes`` of files for a task to read; ``pushdown``,
+    off unless it is true, for predicates of the plan; to write ``compression``
+    (gzip or none), ``level``, ``maxFileBytes`` and ``date``.
+
+    Spark keeps what a plan pushed into a loaded frame and applies it to every
+    other use of that frame, so a frame with pushdown is for one use: load
+    again for another. ``read_warc`` does so for its predicate.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -408,7 +432,8 @@ class WarcDataSource(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(dict(self.options), schema)
+        pushes = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PushingReader if pushes else WarcReader)(dict(self.options), schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(dict(self.options), schema, overwrite)
@@ -421,10 +446,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The records of the archives below ``path``; of ``columns`` alone if they are given."""
+def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
+    """The records of the archives below ``path``, of ``columns`` alone if they are given.
+
+    ``where`` is a predicate on header columns that tasks decide by a record's
+    headers. A frame with one is for one use in one plan; without one it may be
+    used at will.
+    """
     register(spark)
-    return spark.read.format("warc").schema(T.StructType([SCHEMA[c] for c in columns or SCHEMA.names])).load(path)
+    wanted = columns or SCHEMA.names
+    if where is None:
+        return spark.read.format("warc").schema(T.StructType([SCHEMA[c] for c in wanted])).load(path)
+    read = T.StructType([f for f in SCHEMA if f.name in wanted or f.name in (*HEADERS, "content_length")])
+    return spark.read.format("warc").schema(read).option("pushdown", "true").load(path).where(where).select(*wanted)
 
 
 # an archive of pages
@@ -469,15 +503,16 @@ def archive_pages(pages: DataFrame, path: str, least: int = 100, compression: st
     ``payload_bytes`` and ``payload_digest`` of a response are worked out from
     the bytes that came back; those of a revisit are in its headers. Revisits
     and responses are read apart by a predicate on the record type that the
-    source takes over, and revisits without payloads.
+    source takes over, and revisits without payloads. The rows are written to
+    a table before they are given out.
     """
     spark = pages.sparkSession
     register(spark)
     page_records(pages, least, **columns).write.format("warc").mode("append").option("compression", compression).save(path)
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
-    response = read_warc(spark, path, ["record_id", "record_type", "payload"]).where("record_type = 'response'")
-    revisit = read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_length"]).where("record_type = 'revisit'")
-    return response.select(
+    response = read_warc(spark, path, ["record_id", "record_type", "payload"], "record_type = 'response'")
+    revisit = read_warc(spark, path, ["record_id", "record_type", "refers_to", "payload_digest", "payload_length"], "record_type = 'revisit'")
+    rows = response.select(
         number("record_id").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
@@ -492,6 +527,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = 100, compression: st
             number("refers_to").alias("refers_to"),
         )
     )
+    return staged(rows, "archived")
 
 
 def archive_folder(spark: SparkSession) -> str:
