@@ -21,7 +21,9 @@ class Party:
     """Columns of a party on an invoice and of its stored table.
 
     ``exact`` are (invoice column, stored column, ignore case), tried in order
-    before the name. ``attributes`` are (invoice column, stored column).
+    before the name. ``attributes`` are (invoice column, stored column); a pair
+    counts only where both tables have it. ``when_created`` are set on new rows
+    alone, ``defaults`` are what a new row has in other columns.
     """
 
     name: str
@@ -29,6 +31,8 @@ class Party:
     attributes: tuple
     prefix: str
     needs_name: bool
+    when_created: tuple = ()
+    defaults: tuple = ()
 
 
 VENDOR = Party(
@@ -40,9 +44,16 @@ VENDOR = Party(
         ("vendor_email", "email"),
         ("vendor_phone", "phone"),
         ("vendor_address_line1", "address_line1"),
+        ("vendor_website", "website"),
+        ("vendor_city", "city"),
+        ("vendor_state_province", "state_province"),
+        ("vendor_postal_code", "postal_code"),
+        ("vendor_country", "country"),
     ),
     prefix="CO-new-",
     needs_name=True,
+    when_created=(("company_confidence", "confidence_score"),),
+    defaults=(("currency", "USD"),),
 )
 CUSTOMER = Party(
     name="customer_name",
@@ -52,9 +63,16 @@ CUSTOMER = Party(
         ("customer_email", "email"),
         ("customer_phone", "phone"),
         ("billing_address_line1", "billing_address_line1"),
+        ("customer_company_name", "company_name"),
+        ("billing_city", "billing_city"),
+        ("billing_state_province", "billing_state_province"),
+        ("billing_postal_code", "billing_postal_code"),
+        ("billing_country", "billing_country"),
     ),
     prefix="CU-new-",
     needs_name=False,
+    when_created=(("customer_confidence", "confidence_score"),),
+    defaults=(("customer_type", "individual"),),
 )
 
 
@@ -207,6 +225,38 @@ def enhance_from_dimensions(invoices: DataFrame, companies: DataFrame, customers
     )
 
 
+def _shared(pairs: tuple, invoices: DataFrame, dimension: DataFrame) -> list[tuple[str, str]]:
+    return [(a, b) for a, b in pairs if a in invoices.columns and b in dimension.columns]
+
+
+def _batch_parties(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame:
+    """The distinct parties of a batch, matched once: keys, ``n``, ``_last_<attribute>``, ``_first``, ``match_id``."""
+    keys, invoices = party_keys(party), blank_keys(invoices, party)
+    latest = [
+        F.max(F.when(F.length(a) > 0, F.struct("created_at", "invoice_key", F.col(a).alias("value")))).alias(f"_last_{b}")
+        for a, b in _shared(party.attributes, invoices, dimension)
+    ]
+    new = [F.col(a).alias(b) for a, b in _shared(party.attributes + party.when_created, invoices, dimension)]
+    parties = invoices.groupBy(*keys).agg(
+        *latest, F.min(F.struct("invoice_key", F.struct(*new).alias("row"))).alias("_first"), F.count(F.lit(1)).alias("n")
+    )
+    return staged(match_parties(staged(parties, "parties"), dimension, party), "matched")
+
+
+def _changes(matched: DataFrame) -> DataFrame:
+    """id and ``_last_<attribute>``: the newest non-empty values for the stored rows that a batch names."""
+    last = [c for c in matched.columns if c.startswith("_last_")]
+    return matched.where(F.col("match_id").isNotNull()).groupBy(F.col("match_id").alias("id")).agg(*[F.max(c).alias(c) for c in last])
+
+
+def _created(matched: DataFrame, party: Party) -> DataFrame:
+    """tenant_id, ``_key`` (the name), id and ``row`` of the rows that a batch creates, one per tenant and name."""
+    name = F.lower(strip(F.col(party.name)))
+    rows = matched.where(F.col("match_id").isNull() & (F.length(name) > 0)).groupBy("tenant_id", name.alias("_key")).agg(F.min("_first").alias("_first"))
+    new_id = F.concat(F.lit(party.prefix), F.col("_first.invoice_key").cast("string"))
+    return rows.select("tenant_id", "_key", new_id.alias("id"), F.col("_first.row").alias("row"))
+
+
 def upsert(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame:
     """The stored table after a batch: id, tenant_id, is_active, the party's attributes, is_new.
 
@@ -214,42 +264,45 @@ def upsert(invoices: DataFrame, dimension: DataFrame, party: Party) -> DataFrame
     as it was before. Of several invoices for one stored row the newest
     non-empty value per attribute wins (created_at, then invoice_key). Parties
     without a match become one new row per tenant and name, from the smallest
-    invoice_key.
+    invoice_key; ``when_created`` columns are set on those alone.
     """
-    keys, invoices = party_keys(party), blank_keys(invoices, party)
-    at = F.struct("created_at", "invoice_key")
-    latest, first = [], []
-    for source, target in party.attributes:
-        has = F.length(source) > 0
-        latest.append(F.max(F.when(has, F.struct("created_at", "invoice_key", F.col(source).alias("value")))).alias(f"_last_{target}"))
-        first.append(F.col(source).alias(target))
-    parties = invoices.groupBy(*keys).agg(
-        *latest, F.min(F.struct("invoice_key", F.struct(*first).alias("row"))).alias("_first"), F.max(at).alias("_at")
-    )
-    matched = staged(match_parties(staged(parties, "parties"), dimension, party), "matched")
-    targets = [t for _, t in party.attributes]
-    changes = (
-        matched.where(F.col("match_id").isNotNull())
-        .groupBy(F.col("match_id").alias("id"))
-        .agg(*[F.max(f"_last_{t}").alias(f"_last_{t}") for t in targets])
-    )
-    updated = dimension.join(changes, "id", "left").select(
+    matched = _batch_parties(invoices, dimension, party)
+    pairs, first = _shared(party.attributes, invoices, dimension), _shared(party.when_created, invoices, dimension)
+    updated = dimension.join(_changes(matched), "id", "left").select(
         "id",
         "tenant_id",
         "is_active",
-        *[F.coalesce(F.col(f"_last_{t}.value"), F.col(t)).alias(t) for t in targets],
+        *[F.coalesce(F.col(f"_last_{t}.value"), F.col(t)).alias(t) for _, t in pairs],
+        *[t for _, t in first],
         F.lit(False).alias("is_new"),
     )
-    created = (
-        matched.where(F.col("match_id").isNull() & (F.length(strip(F.col(party.name))) > 0))
-        .groupBy("tenant_id", F.lower(strip(F.col(party.name))).alias("_key"))
-        .agg(F.min("_first").alias("_first"))
-        .select(
-            F.concat(F.lit(party.prefix), F.col("_first.invoice_key").cast("string")).alias("id"),
-            "tenant_id",
-            F.lit(True).alias("is_active"),
-            *[F.col(f"_first.row.{t}").alias(t) for t in targets],
-            F.lit(True).alias("is_new"),
-        )
+    created = _created(matched, party).select(
+        "id", "tenant_id", F.lit(True).alias("is_active"), *[F.col(f"row.{t}").alias(t) for _, t in pairs + first], F.lit(True).alias("is_new")
     )
     return updated.unionByName(created)
+
+
+def settle(invoices: DataFrame, dimension: DataFrame, party: Party, column: str) -> tuple[DataFrame, DataFrame]:
+    """What a batch makes of its parties, from one match: ids per party, and the stored rows that change.
+
+    The ids are the party's keys, the count ``n`` and ``column``: the matched
+    row, else the row created for the name. The changed rows are whole rows of
+    ``dimension`` after the batch, created ones among them; rows the batch does
+    not name are not in it.
+    """
+    matched = _batch_parties(invoices, dimension, party)
+    created = staged(_created(matched, party), "created")
+    name = filled(F.lower(strip(F.col(party.name))))
+    ids = (
+        matched.withColumn("_key", name)
+        .join(created.select("tenant_id", "_key", "id"), ["tenant_id", "_key"], "left")
+        .select(*party_keys(party), "n", F.coalesce("match_id", "id").alias(column))
+    )
+    pairs, first = _shared(party.attributes, invoices, dimension), _shared(party.when_created, invoices, dimension)
+    new_values = {t: F.coalesce(F.col(f"_last_{t}.value"), F.col(t)) for _, t in pairs}
+    updated = dimension.join(_changes(matched), "id").select(*[new_values.get(c, F.col(c)).alias(c) for c in dimension.columns])
+    given = {"id": F.col("id"), "tenant_id": F.col("tenant_id"), "is_active": F.lit(True)}
+    given |= {c: F.lit(v) for c, v in party.defaults} | {t: F.col(f"row.{t}") for _, t in pairs + first}
+    kinds = {f.name: f.dataType for f in dimension.schema}
+    new = created.select(*[given.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in dimension.columns])
+    return staged(ids, "entities"), updated.unionByName(new)

@@ -93,6 +93,8 @@ def templates(d: Dialect) -> dict[str, str]:
                    CASE WHEN s_suppkey % 7 = 0 THEN cast(NULL as string)
                         ELSE concat({_text('s_suppkey')}, ' Depot Road') END AS address_line1,
                    'Springfield' AS city, 'IL' AS state_province, '10001' AS postal_code, 'USA' AS country,
+                   CASE WHEN s_suppkey % 5 = 0 THEN concat('www.supplier', {_text('s_suppkey')}, '.example.com') ELSE '' END AS website,
+                   cast(0.5 as double) AS confidence_score,
                    'USD' AS currency, concat('tenant_', {_text('r')}) AS tenant_id,
                    s_suppkey % 10 <> 9 AS is_active,
                    cast(30 * (1 + s_suppkey % 3) as int) AS payment_terms_days
@@ -105,7 +107,8 @@ def templates(d: Dialect) -> dict[str, str]:
                    CASE WHEN c_custkey % 9 = 0 THEN cast(NULL as string)
                         ELSE concat('(555) ', {_padded('c_custkey % 1000', 3)}, '-', {_padded('c_custkey % 10000', 4)}) END AS phone,
                    concat({_text('c_custkey')}, ' Elm Ave') AS billing_address_line1,
-                   'Springfield' AS billing_city, '20002' AS billing_postal_code,
+                   'Springfield' AS billing_city, '20002' AS billing_postal_code, 'IL' AS billing_state_province, 'USA' AS billing_country,
+                   cast(0.5 as double) AS confidence_score,
                    CASE WHEN c_custkey % 4 = 0 THEN concat({_text('c_custkey')}, ' Dock Lane') ELSE '' END AS shipping_address_line1,
                    CASE WHEN c_custkey % 4 = 0 THEN 'Shelbyville' ELSE cast(NULL as string) END AS shipping_city,
                    concat('tenant_', {_text('n_regionkey')}) AS tenant_id,
@@ -183,6 +186,16 @@ def templates(d: Dialect) -> dict[str, str]:
                         ELSE concat('Customer#', {_padded('customer_key', 9)}) END AS customer_name,
                    concat({_text('customer_key % 90 + 10')}, ' Elm Avenue') AS customer_street
             FROM {{invoice_headers}}""",
+        # Headers as they are stored when files have come in and are not read yet.
+        "stored_headers": """
+            SELECT invoice_key, tenant_id, 'PENDING' AS invoice_number, cast(created_at as date) AS invoice_date, cast(NULL as date) AS due_date,
+                   CASE WHEN invoice_key % 3 = 0 THEN concat('PO-S', cast(invoice_key as string)) ELSE cast(NULL as string) END AS po_number,
+                   cast(NULL as string) AS company_id, cast(NULL as string) AS customer_id, 'USD' AS currency,
+                   cast(0 as decimal(15,2)) AS subtotal_amount, cast(0 as decimal(15,2)) AS tax_amount, cast(0 as double) AS tax_rate,
+                   cast(0 as decimal(15,2)) AS discount_amount, cast(0 as decimal(15,2)) AS shipping_amount, cast(0 as decimal(15,2)) AS total_amount,
+                   cast(NULL as string) AS payment_terms, cast(0 as int) AS line_items_count, cast(0 as double) AS extraction_confidence,
+                   'pending' AS processing_status, false AS requires_review, original_filename, file_size
+            FROM {invoice_headers} WHERE invoice_key % 31 <> 5""",
         # Headers with their parties and planted faults for the rules to find.
         "headers_to_check": f"""
             SELECT invoice_key, h.tenant_id,
