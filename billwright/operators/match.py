@@ -57,12 +57,13 @@ VENDOR = Party(
 )
 CUSTOMER = Party(
     name="customer_name",
-    exact=(("customer_email", "email", True),),
+    exact=(("customer_email", "email", True), ("customer_tax_id", "tax_id", False)),
     attributes=(
         ("customer_name", "name"),
         ("customer_email", "email"),
         ("customer_phone", "phone"),
         ("billing_address_line1", "billing_address_line1"),
+        ("customer_tax_id", "tax_id"),
         ("customer_company_name", "company_name"),
         ("billing_city", "billing_city"),
         ("billing_state_province", "billing_state_province"),
@@ -85,9 +86,9 @@ def active(dimension: DataFrame) -> DataFrame:
 
 
 def blank_keys(invoices: DataFrame, party: Party) -> DataFrame:
-    """The invoices with '' for null in the columns that tell parties apart, so that equality joins find them."""
+    """The invoices with '' for null, and for what they don't have, in the columns that tell parties apart."""
     keys = [k for k in party_keys(party) if k != "tenant_id"]
-    return invoices.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
+    return invoices.withColumns({k: F.coalesce(k, F.lit("")) if k in invoices.columns else F.lit("") for k in keys})
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -129,6 +130,8 @@ def match_parties(parties: DataFrame, dimension: DataFrame, party: Party) -> Dat
     stored = active(dimension)
     found, ids, labels = parties, [], []
     for on_invoice, in_table, ignore_case in party.exact:
+        if in_table not in dimension.columns or on_invoice not in parties.columns:
+            continue
         fold = F.lower if ignore_case else (lambda c: c)
         key, hit = f"_key_{in_table}", f"_id_{in_table}"
         firsts = (

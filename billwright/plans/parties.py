@@ -26,14 +26,32 @@ def printed_parties(spark, sf_dir):
         F.when(F.col("invoice_key") % 12 == 9, mail).otherwise("").alias("customer_email"),
         F.lit("").alias("customer_phone"),
         F.col("customer_street").alias("billing_address_line1"),
+        *[F.expr(text).alias(name) for name, text in _FURTHER.items()],
     )
 
 
-_PARTIES = """WITH p AS (SELECT *, vendor_street AS vendor_address_line1, customer_street AS billing_address_line1, '' AS customer_phone,
+#: Attributes that only some invoices have.
+_FURTHER = {
+    "vendor_website": "CASE WHEN vendor_email <> '' THEN 'mail.example.com' ELSE '' END",
+    "vendor_city": "CASE WHEN vendor_street <> '' THEN 'Capital City' ELSE '' END",
+    "vendor_state_province": "CASE WHEN vendor_street <> '' THEN 'NY' ELSE '' END",
+    "vendor_postal_code": "CASE WHEN invoice_key % 4 = 2 THEN '30003' ELSE '' END",
+    "vendor_country": "CASE WHEN invoice_key % 7 = 2 THEN 'Canada' ELSE '' END",
+    "company_confidence": "cast(invoice_key % 10 as double) / 10",
+    "customer_tax_id": "CASE WHEN invoice_key % 12 = 3 THEN concat('ID-', cast(customer_key as string)) ELSE '' END",
+    "customer_company_name": "CASE WHEN invoice_key % 11 = 0 THEN concat('House ', cast(customer_key as string)) ELSE '' END",
+    "billing_city": "CASE WHEN invoice_key % 5 = 0 THEN 'Capital City' ELSE '' END",
+    "billing_state_province": "CASE WHEN invoice_key % 5 = 0 THEN 'NY' ELSE '' END",
+    "billing_postal_code": "CASE WHEN invoice_key % 4 = 2 THEN '40004' ELSE '' END",
+    "billing_country": "CASE WHEN invoice_key % 7 = 2 THEN 'Canada' ELSE '' END",
+    "customer_confidence": "cast(invoice_key % 10 as double) / 10",
+}
+
+_PARTIES = f"""WITH p AS (SELECT *, {', '.join(f'{text} AS {name}' for name, text in _FURTHER.items())}, vendor_street AS vendor_address_line1, customer_street AS billing_address_line1, '' AS customer_phone,
                   CASE WHEN invoice_key % 12 = 9 THEN concat('CUST', customer_key, '@EXAMPLE.COM') ELSE '' END AS customer_email,
                   CASE WHEN invoice_key % 4 = 1 THEN '' ELSE payment_terms END AS terms
-           FROM {invoice_prints}),
-     ac AS (SELECT * FROM {companies} WHERE is_active), au AS (SELECT * FROM {customers} WHERE is_active),
+           FROM {{invoice_prints}}),
+     ac AS (SELECT * FROM {{companies}} WHERE is_active), au AS (SELECT * FROM {{customers}} WHERE is_active),
      vt AS (SELECT tenant_id, tax_id, min(id) AS id FROM ac GROUP BY ALL),
      vn AS (SELECT d.tenant_id, d.vendor_name, min(ac.id) AS id FROM (SELECT DISTINCT tenant_id, vendor_name FROM p) d
             JOIN ac ON ac.tenant_id = d.tenant_id AND contains(lower(ac.name), lower(d.vendor_name)) GROUP BY ALL),
@@ -42,11 +60,13 @@ _PARTIES = """WITH p AS (SELECT *, vendor_street AS vendor_address_line1, custom
            FROM p LEFT JOIN vt ON vt.tenant_id = p.tenant_id AND vt.tax_id = p.vendor_tax_id
            LEFT JOIN vn ON vn.tenant_id = p.tenant_id AND vn.vendor_name = p.vendor_name),
      ue AS (SELECT tenant_id, lower(email) AS email, min(id) AS id FROM au GROUP BY ALL),
+     ut AS (SELECT tenant_id, tax_id, min(id) AS id FROM au WHERE tax_id <> '' GROUP BY ALL),
      un AS (SELECT d.tenant_id, d.customer_name, min(au.id) AS id FROM (SELECT DISTINCT tenant_id, customer_name FROM p) d
             JOIN au ON au.tenant_id = d.tenant_id AND contains(lower(au.name), lower(d.customer_name)) GROUP BY ALL),
-     r AS (SELECT v.*, coalesce(ue.id, un.id) AS customer_id,
-                  CASE WHEN ue.id IS NOT NULL THEN 'email' WHEN un.id IS NOT NULL THEN 'name' END AS customer_by
+     r AS (SELECT v.*, coalesce(ue.id, ut.id, un.id) AS customer_id,
+                  CASE WHEN ue.id IS NOT NULL THEN 'email' WHEN ut.id IS NOT NULL THEN 'tax_id' WHEN un.id IS NOT NULL THEN 'name' END AS customer_by
            FROM v LEFT JOIN ue ON ue.tenant_id = v.tenant_id AND ue.email = lower(v.customer_email)
+           LEFT JOIN ut ON ut.tenant_id = v.tenant_id AND ut.tax_id = v.customer_tax_id
            LEFT JOIN un ON un.tenant_id = v.tenant_id AND un.customer_name = v.customer_name)"""
 
 
@@ -106,15 +126,16 @@ def _upsert_sql(party: match.Party, dimension: str, match_column: str) -> str:
     last = ", ".join(
         f"first(nullif({s}, '') {order}) FILTER (WHERE {s} <> '') AS {t}" for s, t in party.attributes
     )
-    new = ", ".join(f"arg_min({s}, invoice_key) AS {t}" for s, t in party.attributes)
-    targets = [t for _, t in party.attributes]
+    new = ", ".join(f"arg_min({s}, invoice_key) AS {t}" for s, t in party.attributes + party.when_created)
+    targets, first = [t for _, t in party.attributes], [t for _, t in party.when_created]
     return f"""{_PARTIES},
         changes AS (SELECT {match_column} AS id, {last} FROM r WHERE {match_column} IS NOT NULL GROUP BY {match_column}),
         created AS (SELECT concat('{party.prefix}', min(invoice_key)) AS id, tenant_id, true AS is_active, {new}, true AS is_new
                     FROM r WHERE {match_column} IS NULL GROUP BY tenant_id, lower(trim({party.name})))
-        SELECT d.id, d.tenant_id, d.is_active, {', '.join(f'coalesce(c.{t}, d.{t}) AS {t}' for t in targets)}, false AS is_new
+        SELECT d.id, d.tenant_id, d.is_active, {', '.join(f'coalesce(c.{t}, d.{t}) AS {t}' for t in targets)},
+               {', '.join(f'd.{t}' for t in first)}, false AS is_new
         FROM {{{dimension}}} d LEFT JOIN changes c ON c.id = d.id
-        UNION ALL SELECT id, tenant_id, is_active, {', '.join(targets)}, is_new FROM created"""
+        UNION ALL SELECT id, tenant_id, is_active, {', '.join(targets + first)}, is_new FROM created"""
 
 
 @query("upsert_vendors", _upsert_sql(match.VENDOR, "companies", "company_id"))

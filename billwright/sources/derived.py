@@ -101,6 +101,7 @@ def templates(d: Dialect) -> dict[str, str]:
             FROM {{supplier}} {d.rows_of(_array(d, '0', '1', '2', '3', '4'), 'r')}""",
         "customers": f"""
             SELECT concat('CU-', {_padded('c_custkey', 6)}) AS id, c_name AS name,
+                   CASE WHEN c_custkey % 6 = 0 THEN concat('ID-', {_text('c_custkey')}) ELSE '' END AS tax_id,
                    CASE WHEN c_acctbal < 0 THEN concat('Firm ', {_text('c_custkey')}) ELSE '' END AS company_name,
                    CASE WHEN c_acctbal < 0 THEN 'business' ELSE 'individual' END AS customer_type,
                    concat('cust', {_text('c_custkey')}, '@example.com') AS email,
