@@ -298,6 +298,58 @@ def test_lockouts_reset_between_users(spark):
     assert lockouts(df.coalesce(1)).count() == 0
 
 
+def _locks(rows):
+    """Every login in order, user by user."""
+    out, state = [], {}
+    for user, at, event, failed in sorted((r for r in rows if r[0] is not None), key=lambda r: r[:3]):
+        failures, until, locked = _login(*state.get(user, (0, 0)), at, failed)
+        state[user] = (failures, until)
+        if locked:
+            out.append((user, at, until, failures))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("many", [10_000, 3, 0])
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_locks_are_those_of_reading_in_order(spark, many, parts):
+    rng = random.Random(many + parts)
+    rows, event = [], 0
+    for user, n in enumerate([300, 200, 60, 5, 4, 3, 100, 60], 1):
+        at, gap = 1, [900, 60, 5000, 1][user % 4]
+        for _ in range(n):
+            at += rng.choice([0, 0, 1, rng.randint(0, 2 * gap)]) * 1_000_000
+            event += 1
+            rows.append((user, at, event, rng.random() < 0.8))
+    rows += [(None, k, 9_000 + k, True) for k in range(8)]
+    schema = "user_id long, at long, event_id long, failed boolean"
+    log = spark.createDataFrame(rng.sample(rows, len(rows)), schema).select(
+        "user_id", "event_id", F.timestamp_micros("at").alias("ts"), F.when(F.col("failed"), "login_failed").otherwise("login_ok").alias("action")
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lockouts(log, many=many).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == _locks(rows) and len(got) > 5
+
+
+def test_one_user_with_most_logins_is_spread(spark):
+    """Failures every ten seconds for weeks: runs start at nearly every login, locks one after another."""
+    n = 200_000
+    log = spark.range(n).select(
+        F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.lit("login_failed").alias("action")
+    )
+    got = sorted(r.locked_at_us // 10_000_000 for r in lockouts(log).collect())
+    want, at = [], 0
+    while at + 4 < n:  # locked at the fifth, free again an hour of 360 logins later
+        want.append(at + 4)
+        at += 4 + 360
+    assert got == want
+
+
 def test_blocks(spark):
     rows = [(1, 1, " b ", 0.9), (1, 0, "a", 0.5), (1, 2, "  ", 0.9), (2, 0, "", 0.1)]
     df = spark.createDataFrame(rows, "doc_id int, block_index int, text string, confidence double")
