@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from billwright.operators import match, party_duplicates
+from billwright.operators import match, party_duplicates, party_groups
 from billwright.plans.registry import query
 from billwright.sources.derived import table
 
@@ -176,3 +176,20 @@ def vendor_duplicate_pairs(spark, sf_dir):
 @query("customer_duplicate_pairs", _duplicates_sql("customers_dirty", {"email": "lower(email)", "tax_id": "tax_id"}, 0.9, False))
 def customer_duplicate_pairs(spark, sf_dir):
     return party_duplicates.customer_duplicates(table(spark, sf_dir, "customers_dirty"))
+
+
+def _groups_sql(*args):
+    return f"""WITH RECURSIVE link AS ({_duplicates_sql(*args)}),
+        either AS (SELECT tenant_id, id AS a, duplicate_of AS b FROM link UNION SELECT tenant_id, duplicate_of, id FROM link),
+        reach AS (SELECT tenant_id, a AS id, a AS other FROM either UNION SELECT r.tenant_id, r.id, l.b FROM reach r JOIN either l ON l.a = r.other)
+        SELECT tenant_id, id, min(other) AS group_id, count(*) AS members FROM reach GROUP BY tenant_id, id"""
+
+
+@query("vendor_duplicate_groups", _groups_sql("companies_dirty", {"name": "lower(name)", "tax_id": "tax_id"}, 0.8, True))
+def vendor_duplicate_groups(spark, sf_dir):
+    return party_groups.vendor_groups(table(spark, sf_dir, "companies_dirty"))
+
+
+@query("customer_duplicate_groups", _groups_sql("customers_dirty", {"email": "lower(email)", "tax_id": "tax_id"}, 0.9, False))
+def customer_duplicate_groups(spark, sf_dir):
+    return party_groups.customer_groups(table(spark, sf_dir, "customers_dirty"))
