@@ -22,16 +22,21 @@ def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def match_text(c: Column, pattern: str) -> Column:
+    """The first match of a pattern that matches no empty text, by one search; null without one."""
+    return F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
+
+
 def has_email(c: Column) -> Column:
     return F.contains(c, F.lit("@")) & c.rlike(p.EMAIL)
 
 
 def email(c: Column) -> Column:
-    return F.when(has_email(c), F.regexp_extract(c, p.EMAIL, 0))
+    return F.when(F.contains(c, F.lit("@")), match_text(c, p.EMAIL))
 
 
 def website(c: Column) -> Column:
-    return first_match(c, p.WEBSITE, 0)
+    return match_text(c, p.WEBSITE)
 
 
 def tax_id(c: Column) -> Column:
@@ -46,12 +51,15 @@ def phone(c: Column, as_printed: bool = False) -> Column:
     """Three-part numbers are reformatted unless ``as_printed``.
 
     A number PHONE_PLAIN would find is always found by PHONE_AREA, whose
-    prefix is optional, so only two patterns are tried.
+    prefix is optional, so only two patterns are tried. The text is searched
+    once for each; the parts are read from what was found.
     """
-    g = lambda n: F.regexp_extract(c, p.PHONE_AREA, n)
-    area = g(0) if as_printed else F.format_string("(%s) %s-%s", g(1), g(2), g(3))
-    country = F.regexp_extract(c, p.PHONE_COUNTRY, 0)
-    return F.when(c.rlike(p.PHONE_AREA_CORE), area).when(c.rlike(p.PHONE_COUNTRY_CORE), country)
+    g = lambda found, n: F.regexp_extract(found, p.PHONE_AREA, n)
+    area = match_text(c, p.PHONE_AREA)
+    if not as_printed:
+        area = let(area, lambda found: F.format_string("(%s) %s-%s", g(found, 1), g(found, 2), g(found, 3)))
+        area = F.when(c.rlike(p.PHONE_AREA_CORE), area)
+    return F.coalesce(area, match_text(c, p.PHONE_COUNTRY))
 
 
 def company_name_hit(lines: Column) -> Column:
@@ -132,12 +140,13 @@ def tax_rate(c: Column) -> Column:
 def payment_terms(c: Column) -> Column:
     """struct(value, confidence), null without terms."""
     hit = lambda value, conf: F.struct(value.alias("value"), F.lit(conf).alias("confidence"))
-    return (
-        F.when(c.rlike(p.TERMS_NET), hit(F.concat(F.lit("Net "), F.regexp_extract(c, p.TERMS_NET, 1)), 0.9))
-        .when(c.rlike(p.TERMS_RECEIPT), hit(F.lit("Due on receipt"), 0.9))
-        .when(c.rlike(p.TERMS_DAYS), hit(F.concat(F.regexp_extract(c, p.TERMS_DAYS, 1), F.lit(" days")), 0.8))
-        .when(c.rlike(p.TERMS_CASH), hit(F.regexp_extract(c, p.TERMS_CASH, 0), 0.7))
-        .when(c.rlike(p.TERMS_COD), hit(F.lit("Cash on delivery"), 0.8))
+    found = lambda pattern, group, use: let(F.regexp_extract(c, pattern, group), lambda v: F.when(v != "", use(v)))
+    return F.coalesce(
+        found(p.TERMS_NET, 1, lambda v: hit(F.concat(F.lit("Net "), v), 0.9)),
+        F.when(c.rlike(p.TERMS_RECEIPT), hit(F.lit("Due on receipt"), 0.9)),
+        found(p.TERMS_DAYS, 1, lambda v: hit(F.concat(v, F.lit(" days")), 0.8)),
+        found(p.TERMS_CASH, 0, lambda v: hit(v, 0.7)),
+        F.when(c.rlike(p.TERMS_COD), hit(F.lit("Cash on delivery"), 0.8)),
     )
 
 
@@ -176,8 +185,6 @@ def items_section(c: Column, lines: Column, drop_header: bool) -> Column:
 
 def parse_items(section: Column) -> Column:
     """ARRAY<STRUCT> of the rows in a line table, numbered in reading order."""
-    number = lambda line, pattern, n, t: F.regexp_extract(line, pattern, n).try_cast(t)
-
     def item(desc: Column, qty: Column, price: Column, total: Column, conf: float) -> Column:
         return F.struct(
             desc.alias("description"),
@@ -187,40 +194,21 @@ def parse_items(section: Column) -> Column:
             F.lit(conf).alias("confidence"),
         )
 
+    def groups(line: Column, pattern: str) -> Column:
+        """The four groups of the first match, by one search; the line itself as the only part without a match."""
+        whole = rf"(?s:\A.*?){pattern}(?s:.*)\z"
+        return F.split(F.regexp_replace(line, whole, "$1\x1d$2\x1d$3\x1d$4"), "\x1d")
+
+    def priced_row(parts: Column, text: int, quantity: int) -> Column:
+        part = lambda n: F.get(parts, F.lit(n))
+        number = lambda n, kind: part(n).try_cast(kind)
+        return item(strip(part(text)), number(quantity, "decimal(10,3)"), number(2, "decimal(15,4)"), number(3, MONEY), 0.8)
+
     def read(line: Column) -> Column:
-        a, b = p.ITEM_QUANTITY_FIRST, p.ITEM_TEXT_FIRST
-        return (
-            F.when(
-                line.rlike(a),
-                item(
-                    strip(F.regexp_extract(line, a, 2)),
-                    number(line, a, 1, "decimal(10,3)"),
-                    number(line, a, 3, "decimal(15,4)"),
-                    number(line, a, 4, MONEY),
-                    0.8,
-                ),
-            )
-            .when(
-                line.rlike(b),
-                item(
-                    strip(F.regexp_extract(line, b, 1)),
-                    number(line, b, 2, "decimal(10,3)"),
-                    number(line, b, 3, "decimal(15,4)"),
-                    number(line, b, 4, MONEY),
-                    0.8,
-                ),
-            )
-            .when(
-                ~line.rlike(p.ITEM_NOT_A_ROW),
-                item(
-                    line,
-                    F.lit(1).cast("decimal(10,3)"),
-                    F.lit(0).cast("decimal(15,4)"),
-                    F.lit(0).cast(MONEY),
-                    0.3,
-                ),
-            )
-        )
+        quantity_first = let(groups(line, p.ITEM_QUANTITY_FIRST), lambda g: F.when(F.size(g) == 4, priced_row(g, 1, 0)))
+        text_first = let(groups(line, p.ITEM_TEXT_FIRST), lambda g: F.when(F.size(g) == 4, priced_row(g, 0, 1)))
+        only_text = item(line, F.lit(1).cast("decimal(10,3)"), F.lit(0).cast("decimal(15,4)"), F.lit(0).cast(MONEY), 0.3)
+        return F.coalesce(quantity_first, text_first, F.when(~line.rlike(p.ITEM_NOT_A_ROW), only_text))
 
     rows = F.transform(F.filter(stripped_lines(section), lambda line: line != ""), read)
     kept = F.filter(rows, lambda r: r.isNotNull() & (F.length(r["description"]) > 0))

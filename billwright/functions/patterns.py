@@ -34,7 +34,7 @@ AFTER_WORD = I + r"{word}\s*+:?\s*(.{{0,50}})"
 DATE_FALLBACK_CHARS = 200
 
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_MONTH = f"({'|'.join(MONTHS)})"
 DATE_NUMBERS = I + r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
 DATE_LONG_FIRST = I + r"(\d{2,4})[/-](\d{1,2})[/-](\d{1,2})"
 DATE_DAY_MONTH = I + r"(\d{1,2})\s+" + _MONTH + r"\s+(\d{2,4})"

@@ -72,43 +72,45 @@ def word_set(c: Column) -> Column:
 
 
 def first_hit(text: Column, choices: list[tuple[str, float]]) -> Column:
-    """First pattern that occurs, as struct(value, confidence); null when none does."""
-    return F.coalesce(
-        *[
-            F.when(
-                text.rlike(pattern),
-                F.struct(F.regexp_extract(text, pattern, 1).alias("value"), F.lit(conf).alias("confidence")),
-            )
-            for pattern, conf in choices
-        ]
-    )
+    """First pattern that occurs, as struct(value, confidence); null when none does.
+
+    The first group of each pattern holds a character at least, so one search tells.
+    """
+    hit = lambda conf: lambda v: F.when(v != "", F.struct(v.alias("value"), F.lit(conf).alias("confidence")))
+    return F.coalesce(*[let(F.regexp_extract(text, pattern, 1), hit(conf)) for pattern, conf in choices])
 
 
 def parse_date(text: Column, iso_first: bool = False) -> Column:
-    """The first reading of ``text`` that is a calendar day, by ordered patterns."""
-    readings = [p.DATE_NUMBERS, p.DATE_LONG_FIRST, p.DATE_DAY_MONTH, p.DATE_MONTH_DAY]
-    if iso_first:
-        readings.insert(0, p.DATE_ISO)
-    is_kind = lambda i, *kinds: i.isin([n for n, k in enumerate(readings) if k in kinds])
+    """The first reading of ``text`` that is a calendar day, by ordered patterns; a pattern is tried if those before it give none."""
+    two = lambda x: F.lpad(x.try_cast("int").cast("string"), 2, "0")
     names = F.array(*[F.lit(m.lower()) for m in p.MONTHS])
+    named = lambda x: F.array_position(names, F.lower(x)).cast("string")
+
+    def calendar_day(year: Column, month: Column, day: Column) -> Column:
+        full_year = lambda y: F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
+        padded = F.lpad(let(year.try_cast("int"), full_year).cast("string"), 4, "0")
+        return F.try_to_date(F.concat_ws("-", padded, F.coalesce(two(month), F.lit("?")), F.coalesce(two(day), F.lit("?"))), "yyyy-MM-dd")
+
+    def numbers(a: Column, b: Column, c: Column) -> Column:
+        day_first = a.try_cast("int") > 12
+        return calendar_day(c, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b))
+
+    readings = [
+        (p.DATE_NUMBERS, numbers),
+        (p.DATE_LONG_FIRST, numbers),
+        (p.DATE_DAY_MONTH, lambda a, b, c: calendar_day(c, named(b), a)),
+        (p.DATE_MONTH_DAY, lambda a, b, c: calendar_day(c, named(a), b)),
+    ]
+    if iso_first:
+        readings.insert(0, (p.DATE_ISO, lambda a, b, c: calendar_day(a, b, c)))
+
+    def reading(pattern: str, day: Callable[[Column, Column, Column], Column]) -> Column:
+        part = lambda parts, n: F.get(parts, F.lit(n))
+        of_parts = lambda parts: day(part(parts, 0), part(parts, 1), part(parts, 2))
+        of_match = lambda m: F.when(m != "", let(F.split(m, r"(?U)[/\-,\s]+"), of_parts))
+        return let(F.regexp_extract(text, pattern, 0), of_match)
 
-    def day(parts: Column, i: Column) -> Column:
-        a, b, c = (F.get(parts, F.lit(n)) for n in range(3))
-        named = lambda x: F.array_position(names, F.lower(x)).cast("string")
-        numbers, iso, day_month = is_kind(i, *readings[-4:-2]), is_kind(i, p.DATE_ISO), is_kind(i, p.DATE_DAY_MONTH)
-        day_first = numbers & (a.try_cast("int") > 12)
-        # Which part is what; a month name is turned into its number.
-        month = F.when(iso | day_first, b).when(numbers, a).when(day_month, named(b)).otherwise(named(a))
-        number = F.when(iso, c).when(day_first | day_month, a).otherwise(b)
-        year = F.when(iso, a).otherwise(c).try_cast("int")
-        year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
-        two = lambda x: F.lpad(x.try_cast("int").cast("string"), 2, "0")
-        full = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month), F.lit("-"), two(number))
-        return F.try_to_date(full, "yyyy-MM-dd")
-
-    found = F.array(*[F.regexp_extract(text, pattern, 0) for pattern in readings])
-    parts = F.transform(found, lambda m: F.split(m, r"(?U)[/\-,\s]+"))
-    return F.when(text != "", F.get(F.filter(F.transform(parts, day), lambda d: d.isNotNull()), F.lit(0)))
+    return F.when(text != "", F.coalesce(*[reading(pattern, day) for pattern, day in readings]))
 
 
 def json_map(c: Column) -> Column:
