@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from billwright.llm import common
 
 BATCH_BYTES = 1 << 20
-#: Entries after which a worker's memory of transitions, pairs or parts starts anew.
+#: Entries after which a worker's memory of transitions or pairs starts anew, or of parts becomes the older one of two.
 MEMORY_ENTRIES = 200_000
+PART_ENTRIES = 300_000
 #: Ids of one step of the streaming decoder.
 DECODE_STEP = 1 << 16
 
@@ -54,6 +55,7 @@ class Transducer:
         self._prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self._longest = max(map(len, ranks))
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -61,23 +63,57 @@ class Transducer:
         self._states = {b"": self._start}
         self._n_edges = 0
 
-    def _merged(self, piece: bytes) -> list[bytes]:
-        """The merge rule itself: always the pair of the least rank, leftmost first."""
+    def _merged(self, piece: bytes, but: bytes = b"") -> list[bytes]:
+        """The merge rule itself: always the pair of the least rank, leftmost first; ``but`` is not made."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            joined = [a + b for a, b in zip(parts, parts[1:])]
+            rank, at = min((self.ranks.get(x, 1 << 60) if x != but else 1 << 60, i) for i, x in enumerate(joined))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _split(self, token: bytes) -> tuple[bytes, bytes] | None:
+        """The two parts whose merge gives the token; None if none does, or if a part comes later than the token itself."""
+        if token not in self._splits:
+            parts = self._merged(token, but=token)
+            regular = len(parts) == 2 and all(len(x) == 1 or self.ranks[x] < self.ranks[token] for x in parts)
+            self._splits[token] = (parts[0], parts[1]) if regular else None
+        return self._splits[token]
+
+    def _stay_apart(self, left: bytes, right: bytes) -> bool | None:
+        """Whether the merges of two tokens go past each other, read backwards; None if that can't be told so.
+
+        The later merge of the two is undone, and the pair then across the
+        middle must not have come before it; of equal pairs the left one did.
+        """
+        limit = 1 << 60
+        while True:
+            if self.ranks.get(left + right, 1 << 60) < limit:
+                return False
+            one, two = (self.ranks[x] if len(x) > 1 else -1 for x in (left, right))
+            if one < 0 and two < 0:
+                return True
+            undone = self._split(left if one > two else right)
+            if undone is None:
+                return None
+            if one > two:
+                limit, left = one, undone[1]
+            else:
+                limit, right = two + 1, undone[0]
+
     def _side_by_side(self, left: bytes, right: bytes) -> bool:
         pair = (left, right)
         known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) > MEMORY_ENTRIES:
                 self._pairs.clear()
-            known = self._pairs[pair] = self._merged(left + right) == ([left, right] if left else [right])
+            regular = all(len(x) < 2 or self._split(x) for x in pair)
+            known = (self._stay_apart(left, right) if left else True) if regular else None
+            if known is None:
+                known = self._merged(left + right) == ([left, right] if left else [right])
+            self._pairs[pair] = known
         return known
 
     def _last(self, data: bytes, before: list[int]) -> int:
@@ -192,8 +228,9 @@ class Codec:
         self._tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self._tokens[rank] = token
-        self._inner: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
+        # parts met lately, and those met before them
+        self._parts: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _encoded(self, part: str) -> bytes:
         ids: list[int] = []
@@ -203,14 +240,13 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         first, *parts = common.safe_parts(text)
-        for known, need, space in ((self._first, {first}, ""), (self._inner, set(parts), " ")):
-            if len(known) + len(need) > MEMORY_ENTRIES:
-                known.clear()
-            for part in need:
-                if part in known:
-                    continue
-                known[part] = self._encoded(space + part)
-        return self._first[first] + b"".join(map(self._inner.__getitem__, parts))
+        need = set(parts)
+        if len(self._parts) + len(need) > PART_ENTRIES:
+            self._parts, self._older = {}, self._parts
+        known, older = self._parts, self._older
+        for part in need.difference(known):
+            known[part] = older.get(part) or self._encoded(" " + part)
+        return self._encoded(first) + b"".join(map(known.__getitem__, parts))
 
     def decode_steps(self, ids: bytes) -> Iterator[bytes]:
         numbers = np.frombuffer(ids, "<u4")
