@@ -71,7 +71,7 @@ class Model:
         self.code = codewords(len(languages))
         share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True) if languages else counts
         weights, bit_weights = [], []
-        for bit in self.code.T:
+        for bit in self.code.T if languages else ():
             plus = share[bit > 0].mean(0)
             minus = share[bit < 0].mean(0) if (bit < 0).any() else plus
             weights.append(np.log(plus / minus))

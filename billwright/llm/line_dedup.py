@@ -9,10 +9,13 @@ from billwright.llm import common
 from billwright.session import staged
 
 #: Elements whose content is no text, and elements that begin or end a line (fixed values of HTML).
-HIDDEN = "(?is)<!--.*?-->|<(script|style|template|noscript)[^>]*>.*?</(script|style|template|noscript)>"
+#: What is not closed goes on to the end of the page, as in HTML, so each pattern reads a page once.
+HIDDEN = (
+    r"(?is)<!--.*?(-->|\z)|<(script|style|template|noscript)[^>]*(\z|>.*?(</(script|style|template|noscript)>|\z))"
+)
 BREAKS = (
-    "(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|"
-    "nav|ol|p|pre|section|table|td|th|title|tr|ul)([ /][^>]*)?>"
+    r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|"
+    r"nav|ol|p|pre|section|table|td|th|title|tr|ul)([ /][^>]*)?(>|\z)"
 )
 
 
@@ -26,19 +29,19 @@ def html_lines(html: str | Column) -> Column:
     """The trimmed, non-empty lines of a page's text: block elements break lines, other tags go."""
     html = F.col(html) if isinstance(html, str) else html
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), "<[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^>]*(>|\z)", "")
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "^[ \t\r]+|[ \t\r]+$", "")), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The lines of every page without those on more than ``ratio`` of the pages of its host.
 
     A line's ratio is the number of the host's pages that contain it (once or
-    more) by the number of the host's pages. Lines of hosts with fewer than
-    ``min_pages`` pages all stay. Gives the id column, ``host``, ``n_lines``,
+    more) by the number of the host's pages. A line that is on one page only
+    stays, on hosts of any size. Gives the id column, ``host``, ``n_lines``,
     ``n_dropped`` and ``text``, the kept lines joined by line ends, one row for
     each row. Every row is a page: repeated rows count as pages of their host.
-    A null page has no lines; a null URL or one without a host belongs to the
+    A null page has no lines; what a page does not close goes on to its end; a null URL or one without a host belongs to the
     host ''. Null ids are kept; other columns are not read.
     """
     hashed = F.struct(F.col(id_col), F.col(url_col), F.col(html_col))
@@ -57,7 +60,7 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, min_pages: int = 5, i
         .where("n > 1")
     )
     common_lines = staged(
-        counted.join(totals, "host").where((F.col("pages") >= min_pages) & (F.col("n") > F.col("pages") * ratio)).select("host", "line"), "boilerplate"
+        counted.join(totals, "host").where(F.col("n") > F.col("pages") * ratio).select("host", "line"), "boilerplate"
     )
     found = (
         lined.select("_key", "host", F.posexplode("lines").alias("at", "line"))

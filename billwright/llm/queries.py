@@ -153,7 +153,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"), ratio=0.3, min_pages=5)
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "pages"), ratio=0.3)
 
 
 ORACLES["op9_line_dedup"] = r"""
@@ -161,14 +161,14 @@ WITH lined AS (
   SELECT page_id,
     lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
     list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-      '<!--.*?-->|<(script|style|template|noscript)[^>]*>.*?</(script|style|template|noscript)>', '', 'gsi'),
-      '</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)([ /][^>]*)?>', chr(10), 'gi'),
-      '<[^>]*>', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') AS lines
+      '<!--.*?(-->|\z)|<(script|style|template|noscript)[^>]*(\z|>.*?(</(script|style|template|noscript)>|\z))', '', 'gsi'),
+      '</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)([ /][^>]*)?(>|\z)', chr(10), 'gi'),
+      '<[^>]*(>|\z)', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') AS lines
   FROM pages
 ), host AS (SELECT host, count(*) AS pages FROM lined GROUP BY host),
 boilerplate AS (
   SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lined) JOIN host USING (host)
-  GROUP BY host, line, pages HAVING pages >= 5 AND count(*) > pages * 0.3 AND count(*) > 1
+  GROUP BY host, line, pages HAVING count(*) > pages * 0.3 AND count(*) > 1
 ), drop_list AS (SELECT host, list(line) AS bad FROM boilerplate GROUP BY host)
 SELECT page_id, host, len(lines) AS n_lines, len(list_filter(lines, lambda x: list_contains(coalesce(bad, []), x))) AS n_dropped,
        array_to_string(list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)), chr(10)) AS text

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billwright.llm import common
+from billwright.session import staged
 
 #: Labelled rows that the field is fitted to, drawn by a hash of the id: so many of each label at most.
 SAMPLE_TOXIC = 1500
@@ -232,25 +233,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample follows a hash of the id, so it is the same on each run. Null
     labels, null texts and null ids are not learned from; labels of one id
-    that differ count as toxic.
+    that differ count as toxic. Of several texts with one id one is drawn.
     """
     marks = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     )
-    lengths = docs.select(F.col(id_col).alias("_id"), F.length(text_col).alias("_chars"))
-    usable = lengths.where(F.col("_chars").between(1, SAMPLE_CHARS)).join(marks, "_id").withColumn("_at", F.xxhash64("_id"))
-    drawn: dict[int, list[int]] = {}
-    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        drawn[label] = [r[0] for r in usable.where(F.col("_label") == label).orderBy("_at", "_id").limit(most).select("_id").collect()]
-    ids = [*drawn[1], *drawn[0]]
-    spark = docs.sparkSession
-    schema = T.StructType([common.field(docs, id_col, "_id")])
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], schema))  # at most the sample's size
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS))
-    texts = {r[0]: r[1] for r in found.join(wanted, "_id", "left_semi").collect()}
-    return fit(*([texts[i] for i in dict.fromkeys(drawn[k])] for k in (1, 0)))
+    # one text per id, the same on each run; only ids and hashes are compared
+    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.length(text_col).alias("_chars"))
+    firsts = read.where(F.col("_chars").between(1, SAMPLE_CHARS)).groupBy("_id").agg(F.min("_hash").alias("_hash"))
+    usable = firsts.join(marks, "_id").withColumn("_at", F.xxhash64("_id"))
+    of_label = [usable.where(F.col("_label") == label).orderBy("_at", "_id").limit(most) for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    drawn = staged(of_label[0].unionByName(of_label[1]), "drawn")  # at most the sample's size
+    full = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text").between(1, SAMPLE_CHARS))
+    found = full.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(drawn), ["_id", "_hash"])
+    rows = found.groupBy("_id", "_label", "_at").agg(F.min("_text").alias("_text")).orderBy("_at", "_id").collect()
+    return fit(*([r["_text"] for r in rows if r["_label"] == label] for label in (1, 0)))
 
 
 def score(docs: DataFrame, crf: Field, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
