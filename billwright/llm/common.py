@@ -6,6 +6,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,6 +53,18 @@ def semi_by_id(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it Arrow batches have at most ``rows`` rows: for rows that are large themselves, written at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:
     return T.StructField(as_name or name, df.schema[name].dataType, True)
 

@@ -7,8 +7,8 @@ the next; hashed bitmaps tell by bit counts how much two sets can overlap at
 most, and what passes is settled by intersecting sorted arrays. Classes that links
 connect already need not be compared again: a first round compares each class
 with one of a list only, and each further round tests just the pairs that would
-join what is still apart, until none is left. So large groups of near copies
-give as many pairs as they have classes.
+join what is still apart, in tiles that have more of them. So large groups of
+near copies give as many pairs as they have classes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,8 +147,13 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, part: int, whole: int) -> DataFrame:
-    """The pairs ``a``, ``b`` of classes that link."""
+def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *settings) -> DataFrame:
+    """The pairs ``a``, ``b`` of classes that link; whole sets travel, so in small batches."""
+    with common.small_batches(docs.sparkSession, 200):
+        return _settled_pairs(pairs, classes, docs, *settings)
+
+
+def _settled_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, part: int, whole: int) -> DataFrame:
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,19 +193,26 @@ def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return staged(met.select("a", "b", "g1", "g2").mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
-def _tile_pairs(rows: DataFrame, forests: int, part: int, whole: int) -> DataFrame:
+def _tile_pairs(rows: DataFrame, count: int, forests: int, part: int, whole: int) -> DataFrame:
     """Pairs that would connect unlike labels of a tile if they link, as many as ``forests`` forests have.
 
-    ``rows`` of tile, own, block, c, n, label, bitmap and the classes found ``unlike`` c before.
+    ``rows`` of tile, own, block, c, n, label and bitmap, ``count`` in all, and
+    of tile, c and ``unlike``: a class of the tile that c was found not to link
+    with. A tile with more such pairs gives a row of -1 and the tile.
     """
 
     def compare(table: pa.Table) -> pa.Table:
+        failed: dict[int, list[int]] = {}
+        told = table.column("unlike").is_valid()
+        for c, u in zip(*(table.filter(told).column(k).to_pylist() for k in ("c", "unlike"))):
+            failed.setdefault(c, []).append(u)
+            failed.setdefault(u, []).append(c)
+        table = table.filter(pc.invert(told))
         columns = [table.column(k).to_numpy() for k in ("tile", "own", "block", "c", "n", "label")]
         order = np.argsort(columns[0], kind="stable")
         tile, own, block, c, n, label = (x[order] for x in columns)
         bits = _bits(table.column("bitmap"))[order]
-        unlike = table.column("unlike").take(pa.array(order)).to_pylist()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]]) if len(tile) else np.zeros(1, np.int64)
         found: set[tuple[int, int]] = set()
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             split = len(np.unique(block[s:e])) > 1
@@ -211,8 +224,8 @@ def _tile_pairs(rows: DataFrame, forests: int, part: int, whole: int) -> DataFra
                 if split:
                     keep &= block[s:e] != block[s + i]
                 js = np.flatnonzero(keep)
-                if len(js) and unlike[s + i]:
-                    js = js[~np.isin(c[s + js], unlike[s + i])]
+                if len(js) and int(c[s + i]) in failed:
+                    js = js[~np.isin(c[s + js], failed[int(c[s + i])])]
                 if len(js):
                     apart = np.bitwise_count(bits[s + js] ^ bits[s + i]).sum(1).astype(np.int64)
                     likely = _may_link(n[s + js], n[s + i], apart, part, whole)
@@ -234,15 +247,17 @@ def _tile_pairs(rows: DataFrame, forests: int, part: int, whole: int) -> DataFra
                     if not used.all():
                         left.append((i, js[~used]))
                 near = left
+            if near:
+                found.add((-1, int(tile[s])))
         pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    groups = max(1, rows.count() // TILE)
+    groups = max(1, count // TILE)
     return rows.withColumn("_group", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("_group").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _tiles(listed: DataFrame) -> DataFrame:
-    """Rows of tile, own, block, c, n, label for the bands of lists that have unlike labels."""
+    """Rows of tile, own, block, c, n for the bands of lists that have unlike labels."""
     open_lists = listed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     left = staged(listed.join(open_lists, "token", "left_semi"), "open")
     tiled = left.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile_band", F.col("band") - F.when(F.col("own"), 0).otherwise(1))
@@ -255,7 +270,7 @@ def _tiles(listed: DataFrame) -> DataFrame:
     tiled = tiled.join(sizes, ["token", "tile_band"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other")
     return tiled.select("*", other).select(
-        F.xxhash64("token", "tile_band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "own", "block", "c", "n", "label"
+        F.xxhash64("token", "tile_band", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "own", "block", "c", "n"
     )
 
 
@@ -281,9 +296,12 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
         "classes",
     )
     listed = classes.select("c", F.explode("tokens").alias("token"))
+    # most n-grams have one class only: they are told by a plain count
+    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("token")
+    listed = staged(listed.join(shared, "token", "left_semi"), "shared")
     members = [F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")]
     # of lists with the same members one is enough
-    lists = listed.groupBy("token").agg(*members).where("g > 1").groupBy("g", "x", "y").agg(F.min("token").alias("token"))
+    lists = listed.groupBy("token").agg(*members).groupBy("g", "x", "y").agg(F.min("token").alias("token"))
     band = F.floor(F.log("n") / F.lit(math.log(whole / part) if part < whole else 1.0))
     kept = staged(listed.join(lists.select("token"), "token"), "listed")
     several = staged(classes.drop("tokens").join(kept.select("c").distinct(), "c", "left_semi"), "listed-classes")
@@ -294,18 +312,28 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
     stars = staged(stars.select("a", "b"), "stars")
     settings = (several, docs, id_col, text_col, size, part, whole)
     tested, links = stars, _settled(stars, *settings)
-    forests = 1
-    while True:
-        roots = graph.components(links)
-        failed = tested.join(links, ["a", "b"], "left_anti")
-        failed = failed.select(F.col("a").alias("c"), F.col("b").alias("u")).union(failed.select("b", "a"))
-        known = several.select("c", "bitmap").join(failed.groupBy("c").agg(F.collect_set("u").alias("unlike")), "c", "left")
-        tiles = staged(_tiles(_labelled(listed, roots)).join(known, "c"), "tiles")
-        pairs = staged(_tile_pairs(tiles, forests, part, whole), "tile-pairs")
+    roots = graph.components(links)
+    tiles = staged(_tiles(_labelled(listed, roots)), "tiles")
+    failed = None
+    forests = 4
+    while not tiles.isEmpty():
+        rows = _labelled(tiles, roots).join(several.select("c", "bitmap"), "c")
+        if failed is not None:
+            within = tiles.select("tile", "c").distinct()
+            told = failed.join(within, "c").join(within.withColumnRenamed("c", "unlike"), ["tile", "unlike"], "left_semi")
+            rows = rows.unionByName(told.select("tile", "c", "unlike"), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("unlike", F.lit(None).cast("long"))
+        found = staged(_tile_pairs(rows, tiles.count(), forests, part, whole), "tile-pairs")
+        pairs = found.where("a >= 0")
         if pairs.isEmpty():
             break
         tested, links = tested.unionByName(pairs), links.unionByName(_settled(pairs, *settings))
-        forests *= 4
+        roots = graph.components(links)
+        # what has been tested in full is done: no other pair of it may link
+        tiles = staged(tiles.join(found.where("a < 0").select(F.col("b").alias("tile")), "tile", "left_semi"), "tiles")
+        failed = staged(tested.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("c"), F.col("b").alias("unlike")), "failed")
+        forests *= 8
 
     named = _labelled(classes.select("c", "h1", "h2", "n", "least"), roots)
     least = named.groupBy("label").agg(F.min("least").alias("first"))
