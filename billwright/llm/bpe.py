@@ -271,7 +271,7 @@ def _mapped(rows: DataFrame, id_col: str, value: str, kind: str, fields: list[T.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, 1, BATCH_BYTES):
+            for batch in common.slices(whole, 1, BATCH_BYTES, _CODECS.clear):
                 made = list(zip(*(row(x) for x in batch.column(1).to_pylist())))
                 kinds = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()] for f in fields]
                 yield pa.RecordBatch.from_arrays(

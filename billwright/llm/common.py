@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -27,6 +27,8 @@ SCHEMAS = {
 BROADCAST_IDS = 2_000_000
 
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+#: In a worker process: how to free what its last operator keeps.
+_KEPT: list[Callable[[], None]] = []
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
@@ -69,8 +71,17 @@ def field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField
     return T.StructField(as_name or name, df.schema[name].dataType, True)
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``limit`` bytes of the text column each."""
+def slices(batch: pa.RecordBatch, column: int, limit: int, release: Callable[[], None] | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``limit`` bytes of the text column each.
+
+    ``release`` frees what the caller keeps from batch to batch. A worker
+    process serves one operator after the other: it is called as soon as a
+    batch of another one comes.
+    """
+    if _KEPT and _KEPT[0] != release:  # bound methods are equal, not the same
+        _KEPT.pop()()
+    if release is not None and not _KEPT:
+        _KEPT.append(release)
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(lengths.tolist()):

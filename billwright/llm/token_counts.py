@@ -104,7 +104,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
         for whole in batches:
-            for batch in common.slices(whole, 1, BATCH_BYTES):
+            for batch in common.slices(whole, 1, BATCH_BYTES, _COUNTERS.clear):
                 texts = common.texts(batch, 1)
                 yield pa.RecordBatch.from_arrays(
                     [
