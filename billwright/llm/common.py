@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import zipfile
@@ -80,6 +82,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int, release: Callable[[],
     """
     if _KEPT and _KEPT[0] != release:  # bound methods are equal, not the same
         _KEPT.pop()()
+        _give_back()
     if release is not None and not _KEPT:
         _KEPT.append(release)
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -93,6 +96,15 @@ def slices(batch: pa.RecordBatch, column: int, limit: int, release: Callable[[],
         yield batch.slice(start)
 
 
+def _give_back() -> None:
+    """Return what is free to the system: kept states refer to each other, and free blocks would stay with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def safe_parts(text: str) -> list[str]:
     """``text`` cut at single spaces between two characters that are not white space.
 
