@@ -26,3 +26,14 @@ def check_tables(companies: DataFrame, customers: DataFrame, headers: DataFrame,
     for one in parts[1:]:
         out = out.unionByName(one)
     return out
+
+
+def bad_codes(customers: DataFrame) -> DataFrame:
+    """id, field and value of the postal codes and tenant names that are given and not well formed."""
+    given = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    postal, tenant = F.col("billing_postal_code"), F.col("tenant_id")
+    found = F.array(
+        F.when(given(postal) & ~checks.postal_code_ok(postal), F.struct(F.lit("billing_postal_code").alias("field"), postal.alias("value"))),
+        F.when(~F.coalesce(checks.tenant_id_ok(tenant), F.lit(False)), F.struct(F.lit("tenant_id").alias("field"), tenant.alias("value"))),
+    )
+    return customers.select("id", F.inline(F.filter(found, lambda f: f.isNotNull())))

@@ -243,7 +243,7 @@ def company_documents(spark, sf_dir):
     "customer_documents",
     """WITH s AS (SELECT customer_id, cast(sum(total_amount) - sum(paid_amount) as double) AS rest FROM {invoice_headers} GROUP BY customer_id)
        SELECT id, tenant_id, CASE WHEN customer_type = 'business' AND company_name <> '' THEN company_name ELSE name END AS display_name,
-              concat_ws(', ', billing_address_line1, billing_city, billing_postal_code) AS billing_address,
+              concat_ws(', ', billing_address_line1, billing_city, billing_state_province, billing_postal_code, billing_country) AS billing_address,
               CASE WHEN shipping_address_line1 <> '' OR shipping_city <> '' THEN concat_ws(', ', shipping_address_line1, shipping_city) END AS shipping_address,
               coalesce(rest, 0.0) AS outstanding_balance
        FROM {customers} LEFT JOIN s ON customer_id = id""",

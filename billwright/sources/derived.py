@@ -259,6 +259,65 @@ def templates(d: Dialect) -> dict[str, str]:
                    concat('tenant_', {_text('c_nationkey % 5')}) AS tenant_id
             FROM {{customer}}
             {d.rows_of(f"CASE WHEN c_custkey % 5 = 0 THEN {_array(d, '0')} ELSE {_array(d, '0', _as_int('c_custkey % 5'))} END", 'v')}""",
+        # Tables with every column that documents show, some of them null or empty.
+        "company_records": """
+            SELECT c.*, concat('HRB ', id) AS registration_number, CASE WHEN id LIKE '%3-%' THEN 'Floor 2' ELSE '' END AS address_line2,
+                   CASE WHEN id LIKE '%4-%' THEN 'freight' ELSE cast(NULL as string) END AS industry,
+                   CASE WHEN is_active THEN 'small' ELSE 'large' END AS company_size, id LIKE '%5-%' AS is_verified,
+                   CASE WHEN id LIKE '%5-%' THEN 'manual' ELSE cast(NULL as string) END AS verification_source,
+                   id LIKE '%7-%' AS is_preferred_vendor, timestamp '2001-01-02 03:04:05' AS created_at,
+                   CASE WHEN is_active THEN timestamp '2001-06-07 08:09:10' ELSE timestamp '2001-02-03 00:00:00' END AS updated_at
+            FROM {companies} c""",
+        "customer_records": """
+            SELECT c.*, CASE WHEN id LIKE '%1' THEN '555-0101' ELSE '' END AS mobile,
+                   CASE WHEN id LIKE '%2' THEN 'Rear' ELSE cast(NULL as string) END AS billing_address_line2,
+                   CASE WHEN id LIKE '%3' THEN concat('R-', id) ELSE '' END AS registration_number,
+                   concat('https://', lower(id), '.example.com') AS website, id LIKE '%4' AS is_verified,
+                   CASE WHEN id LIKE '%4' THEN 'email' ELSE cast(NULL as string) END AS verification_source,
+                   CASE WHEN id LIKE '%5' THEN cast(NULL as date) ELSE date '1999-04-05' END AS customer_since,
+                   CASE WHEN is_active THEN 'retail' ELSE 'lost' END AS customer_segment,
+                   CASE WHEN id LIKE '%6' THEN cast(0 as decimal(15,2)) WHEN id LIKE '%7' THEN cast(NULL as decimal(15,2))
+                        ELSE cast(2500.5 as decimal(15,2)) END AS credit_limit,
+                   id LIKE '%8' AS is_vip, id LIKE '%9' AS allow_credit, 'email' AS preferred_contact_method,
+                   is_active AS send_invoice_copy, NOT is_active AS marketing_consent,
+                   '' AS shipping_address_line2, cast(NULL as string) AS shipping_state_province,
+                   CASE WHEN id LIKE '%4' THEN '30003' ELSE '' END AS shipping_postal_code,
+                   CASE WHEN id LIKE '%5' THEN 'USA' ELSE cast(NULL as string) END AS shipping_country,
+                   timestamp '2001-01-02 03:04:05' AS created_at, timestamp '2001-06-07 08:09:10' AS updated_at
+            FROM {customers} c""",
+        "header_records": """
+            SELECT h.*, CASE WHEN invoice_key % 4 = 0 THEN cast(NULL as string) ELSE concat('PO-', cast(invoice_key as string)) END AS po_number,
+                   invoice_key % 30 AS user_id, CASE WHEN payment_status = 'paid' THEN 'transfer' ELSE cast(NULL as string) END AS payment_method,
+                   CASE WHEN payment_status = 'paid' THEN concat('REF', cast(invoice_key as string)) ELSE '' END AS payment_reference,
+                   'standard' AS invoice_type, CASE WHEN invoice_key % 6 = 0 THEN 'freight' ELSE cast(NULL as string) END AS invoice_category,
+                   CASE WHEN requires_review THEN invoice_key % 7 ELSE cast(NULL as bigint) END AS reviewed_by,
+                   CASE WHEN requires_review THEN timestamp '2001-03-04 05:06:07' ELSE cast(NULL as timestamp) END AS reviewed_at,
+                   invoice_key % 20 = 1 AS is_duplicate, CASE WHEN invoice_key % 20 = 1 THEN invoice_key - 1 ELSE cast(NULL as bigint) END AS duplicate_of,
+                   invoice_key % 8 AS line_items_count, timestamp '2001-06-07 08:09:10' AS updated_at
+            FROM {invoice_headers} h""",
+        "line_records": """
+            SELECT l.*, CASE WHEN line_number = 1 THEN 'kg' ELSE cast(NULL as string) END AS unit_of_measure,
+                   CASE WHEN line_number = 2 THEN cast(NULL as decimal(15,2)) ELSE cast(1.25 as decimal(15,2)) END AS tax_amount,
+                   CASE WHEN line_number = 3 THEN cast(0.5 as decimal(15,2)) ELSE cast(NULL as decimal(15,2)) END AS discount_amount,
+                   CASE WHEN line_number = 1 THEN 'goods' ELSE '' END AS category,
+                   CASE WHEN line_number = 2 THEN 'service' ELSE cast(NULL as string) END AS product_type,
+                   cast(line_number as double) / 8 AS confidence_score, timestamp '2001-01-02 03:04:05' AS created_at,
+                   timestamp '2001-06-07 08:09:10' AS updated_at
+            FROM {line_items} l""",
+        "log_records": """
+            SELECT p.*, id % 30 AS user_id, concat('stage ', process_stage) AS message, cast(id % 8 as double) / 8 AS confidence_score,
+                   CASE WHEN log_level = 'ERROR' THEN 'PROCESSING_FAILED' ELSE cast(NULL as string) END AS error_code,
+                   CASE WHEN log_level = 'ERROR' THEN 'bad scan' ELSE cast(NULL as string) END AS error_details,
+                   concat('10.0.0.', cast(id % 40 as string)) AS ip_address, 'agent/1.0' AS user_agent
+            FROM {processing_logs} p""",
+        # Customers with faults for the checks to find, and codes of every length.
+        "checked_customers": """
+            SELECT id, CASE WHEN id LIKE '%11' THEN '' WHEN id LIKE '%12' THEN ' Z ' ELSE name END AS name,
+                   CASE WHEN id LIKE '%3' THEN 'no at sign' ELSE email END AS email, CASE WHEN id LIKE '%4' THEN '12-34' ELSE phone END AS phone,
+                   CASE WHEN id LIKE '%5' THEN 'SW1A 1AA' WHEN id LIKE '%6' THEN '12' WHEN id LIKE '%7' THEN '12345-67890-1' WHEN id LIKE '%8' THEN '20#02'
+                        WHEN id LIKE '%9' THEN cast(NULL as string) ELSE billing_postal_code END AS billing_postal_code,
+                   CASE WHEN id LIKE '%21' THEN 't1' WHEN id LIKE '%22' THEN 'tenant-1' WHEN id LIKE '%23' THEN '' ELSE tenant_id END AS tenant_id
+            FROM {customers}""",
         "access_log": f"""
             SELECT event_id, ts, user_id, concat('10.0.0.', {_text('user_id % 40')}) AS address,
                    CASE event_type WHEN 'error' THEN 'login_failed' WHEN 'signup' THEN 'login_ok'
