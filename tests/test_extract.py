@@ -187,3 +187,18 @@ def test_sanitize_and_json(spark):
     assert one(spark, t.sanitize(T, 3), "  a\x00b\tc d ") == "ab\t"
     assert values(spark, t.json_map(T), ['{"k": 1}', "bad", None, ""]) == [{"k": "1"}, {}, {}, {}]
     assert one(spark, t.word_set(T), " The the  Big\tCo ") == ["big", "co", "the"]
+
+
+def test_a_text_is_searched_once_for_its_lines_and_contacts(spark):
+    texts = spark.createDataFrame(
+        [(1, "a", None, "ACME Corp\nDescription Quantity Price Amount\nBolt 2 1.50 3.00\nTotal: $3.00"), (2, "a", None, "nothing"), (3, "a", None, None)],
+        "invoice_key long, tenant_id string, created_at timestamp, text string",
+    )
+    records = extract.extract_invoices(texts)
+    lines = extract.line_table(records)
+    assert [(r.invoice_key, r.line_number, r.description) for r in lines.collect()] == [(1, 1, "Bolt")]
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized(lines).count(p.ITEM_SECTIONS[0]) == 1
+    found = spark.createDataFrame([("a@b.example",), (None,)], "text string").select(f.email(T).alias("email"))
+    assert [r.email for r in found.collect()] == ["a@b.example", None]
+    assert optimized(found).count("regexp_extract") == 1
