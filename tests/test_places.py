@@ -46,6 +46,35 @@ def test_regions_equal_brute_force(spark):
     assert len(want) > 150
 
 
+def test_regions_that_share_a_name_are_one(spark):
+    blocks = [(d, t, i, 40.0 * i, 0.0, 2.0, 2.0, f"t{i}", c) for d, t in ((1, 0), (1, 1), (2, 1), (None, 1)) for i, c in ((0, 0.5), (1, None), (3, 0.25))]
+    shapes = [(0, "a", 0.0, 0.0, 50.0, 9.0), (1, "a", 0.0, 0.0, 300.0, 9.0), (1, "a", 0.0, 0.0, 300.0, 9.0), (1, None, 30.0, 0.0, 20.0, 9.0), (1, "b", 0.0, 0.0, 9.0, 9.0)]
+    rows = regions.region_text(spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(shapes, REGIONS)).collect()
+    twice, mean = "t0 t0 t1 t1 t3 t3", 1.5 / 6
+    assert {(r.doc_id, r.region): (r.text, r.confidence, r.block_count) for r in rows} == {
+        (1, "a"): ("t0 t0 t0 t1 t1 t1 t3 t3", 2.0 / 8, 8),
+        **{(d, "a"): (twice, mean, 6) for d in (2, None)},
+        **{(d, None): ("t1", None, 1) for d in (1, 2, None)},
+        **{(d, "b"): ("t0", 0.5, 1) for d in (1, 2, None)},
+    }
+    assert len(rows) == 9
+
+
+def test_what_regions_hold_is_not_shuffled(spark):
+    blocks = spark.range(200).select(
+        (F.col("id") % 4).alias("doc_id"), F.lit(0).alias("template_id"), F.col("id").cast("int").alias("block_index"),
+        *[F.lit(1.0).alias(k) for k in ("x", "y", "width", "height")], F.lit("t").alias("text"), F.lit(0.5).alias("confidence"),
+    )
+    shapes = spark.range(500).select(
+        F.lit(0).alias("template_id"), F.col("id").cast("string").alias("region"),
+        *[F.lit(0.0).alias(k) for k in ("x", "y")], *[F.lit(9.0).alias(k) for k in ("width", "height")],
+    )
+    found = regions.region_text(blocks, shapes)
+    assert found.agg(F.count("*"), F.sum("block_count")).first() == (2000, 100_000)
+    alone = found._jdf.queryExecution().optimizedPlan().children().head().toString()
+    assert "Aggregate" not in alone
+
+
 def test_regions_join_by_cells(spark):
     found = regions.region_text(spark.createDataFrame([], BLOCKS), spark.createDataFrame([], REGIONS))
     assert found.collect() == []
