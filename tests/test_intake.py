@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from billwright.config import RuleSet
 from billwright.operators import intake, match
-from billwright.session import shared_folder
+from billwright.session import batch_settings, shared_folder
 from billwright.sources import store
 from billwright.sources.derived import table
 from billwright.streaming import intake as stream
@@ -213,3 +213,22 @@ def test_a_customer_is_found_by_tax_id_before_its_name(spark):
     invoices = spark.createDataFrame([(k, "t", *r) for k, *r in asked], "invoice_key long, tenant_id string, customer_name string, customer_email string, customer_tax_id string")
     got = {r.invoice_key: (r.existing_customer_id, r.matched_by) for r in match.resolve_customers(invoices, dim).collect()}
     assert got == {1: ("b", "tax_id"), 2: ("a", "email"), 3: ("a", "name"), 4: (None, None), 5: ("b", "tax_id")}
+
+
+def test_a_trigger_is_planned_as_a_batch_and_leaves_its_session_as_it_was(spark):
+    seen, inbox = [], shared_folder(spark, "settings")
+    spark.range(10).write.parquet(inbox)
+
+    def one(rows, batch):
+        session = rows.sparkSession
+        small = session.range(5).withColumnRenamed("id", "k")
+        before = session.conf.get("spark.sql.adaptive.enabled")
+        with batch_settings(session):
+            plan = rows.groupBy("id").count().join(small, F.col("id") == F.col("k"))._jdf.queryExecution().executedPlan().toString()
+        seen.append((before, plan, session.conf.get("spark.sql.adaptive.enabled")))
+
+    rows = spark.readStream.schema("id long").parquet(inbox)
+    rows.writeStream.foreachBatch(one).option("checkpointLocation", shared_folder(spark, "settings-state")).trigger(availableNow=True).start().awaitTermination()
+    [(before, plan, after)] = seen
+    assert before == after == "false"
+    assert plan.startswith("AdaptiveSparkPlan") and "BroadcastExchange" not in plan
