@@ -202,3 +202,26 @@ def test_a_text_is_searched_once_for_its_lines_and_contacts(spark):
     found = spark.createDataFrame([("a@b.example",), (None,)], "text string").select(f.email(T).alias("email"))
     assert [r.email for r in found.collect()] == ["a@b.example", None]
     assert optimized(found).count("regexp_extract") == 1
+
+
+def test_words_looked_for_first_change_no_hit(spark):
+    texts = ["İNV: A1", "ınv B2", "Tax ıd: T-9", "ſhippıng: $5", "DİSCOUNT 7", "caſh on delivery", "no words", "", None, "Vat: X1", "P.O. 7", "Kasse"]
+    small = t.folded(T)
+    pairs = [
+        (t.first_hit(T, p.INVOICE_NUMBER), t.first_hit(T, p.INVOICE_NUMBER, small)),
+        (t.first_hit(T, p.PO_NUMBER), t.first_hit(T, p.PO_NUMBER, small)),
+        (f.tax_id(T), f.tax_id(T, small)),
+        (f.amount(T, "shipping", CORRECTED), f.amount(T, "shipping", CORRECTED, small)),
+        (f.amount(T, "discount", CORRECTED), f.amount(T, "discount", CORRECTED, small)),
+        (f.payment_terms(T), f.payment_terms(T, small)),
+    ]
+    for every, guarded in pairs:
+        assert values(spark, every, texts) == values(spark, guarded, texts)
+    assert values(spark, f.amount(T, "shipping", CORRECTED, small), ["ſhippıng: $5"])[0] == 5
+
+
+def test_a_text_is_searched_once_for_its_customer(spark):
+    texts = spark.createDataFrame([(1, "t", None, "Acme\nBill To: Ann\n")], "invoice_key long, tenant_id string, created_at timestamp, text string")
+    plan = extract.extract_invoices(texts)._jdf.queryExecution().optimizedPlan().toString()
+    # one search of the text, one of what it found
+    assert plan.count("bill\\s+to") == 2
