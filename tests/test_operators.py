@@ -357,3 +357,17 @@ def test_blocks(spark):
     assert (got[1].full_text, got[1].high_confidence_text, got[1].average_confidence) == ("a b", "b", 0.9)
     assert got[1].overall_confidence == pytest.approx(2 / 3)
     assert (got[2].full_text, got[2].overall_confidence) == ("", 0.0)
+
+
+def test_attach_shuffles_the_rows_once(spark):
+    rows = spark.range(50).select("id", (F.col("id") % 5).alias("k"))
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("v")).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew.attach(rows, per_key, ["k"], F.col("id"), min_rows=10)
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert sorted((r.id, r.v) for r in joined.collect()) == [(i, 45 + i % 5) for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
