@@ -4,7 +4,8 @@ Texts with the same n-gram set are one class. Two classes that link share an
 n-gram among the rarest few of each (the prefix filter), so each class is
 listed under these. Within a list classes meet in tiles of one size band and
 the next; hashed bitmaps tell by bit counts how much two sets can overlap at
-most, and what passes is settled by intersecting sorted arrays. Classes that links
+most, and what passes is settled by intersecting sorted arrays, made of the two
+texts where they meet: packed texts are what travels. Classes that links
 connect already need not be compared again: a first round compares each class
 with one of a list only, and each further round tests just the pairs that would
 join what is still apart, in tiles that have more of them. So large groups of
@@ -147,8 +148,28 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
+def _packed(column: pa.Array) -> pa.Array:
+    """Texts compressed one by one, after their length; hashes of their n-grams would take more and can't be compressed."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    return pa.array([len(t).to_bytes(4, "little") + pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+
+
+def _unpacked(packed: list[bytes]) -> Iterator[pa.Array]:
+    """The texts again, in order, in columns of about ``BATCH_BYTES``."""
+    held, size = [], 0
+    for body in packed:
+        n = int.from_bytes(body[:4], "little")
+        if held and size + n > BATCH_BYTES:
+            yield pa.array(held, pa.large_binary())
+            held, size = [], 0
+        held.append(pa.decompress(body[4:], n, "zstd", asbytes=True))
+        size += n
+    if held:
+        yield pa.array(held, pa.large_binary())
+
+
 def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *settings) -> DataFrame:
-    """The pairs ``a``, ``b`` of classes that link; whole sets travel, so in small batches."""
+    """The pairs ``a``, ``b`` of classes that link; whole texts travel, so in small batches."""
     with common.small_batches(docs.sparkSession, 200):
         return _settled_pairs(pairs, classes, docs, *settings)
 
@@ -167,30 +188,31 @@ def _settled_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col
     needed = likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()
     owners = staged(classes.join(needed, "c").select("c", "key", "h1", "h2"), "owners")
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
             for batch in common.slices(given, 1, BATCH_BYTES):
                 sets = [g for g, _ in _shingles(*_words(batch.column(1)), size)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), _signed([_set_hash(g, 0) for g in sets]), _signed([_set_hash(g, 1) for g in sets]), pa.array([g.tobytes() for g in sets], pa.binary())],
-                    names=["key", "h1", "h2", "grams"],
+                    [batch.column(0), _signed([_set_hash(g, 0) for g in sets]), _signed([_set_hash(g, 1) for g in sets]), _packed(batch.column(1))],
+                    names=["key", "h1", "h2", "body"],
                 )
 
     rows = docs.select(common.row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("_text"))
     texts = common.semi_by_id(rows, owners.select("key").distinct(), "key")
-    sets = staged(texts.mapInArrow(arrays, "key long, h1 long, h2 long, grams binary").join(owners, ["key", "h1", "h2"]).select("c", "grams"), "sets")
+    sets = staged(texts.mapInArrow(bodies, "key long, h1 long, h2 long, body binary").join(owners, ["key", "h1", "h2"]).select("c", "body"), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            packed = [body for pair in zip(b.column("b1").to_pylist(), b.column("b2").to_pylist()) for body in pair]
+            sets = (g for texts in _unpacked(packed) for g, _ in _shingles(*_words(texts), size))
             same = []
-            for x, y in zip(b.column("g1").to_pylist(), b.column("g2").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(sets, sets):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 same.append(whole * shared >= part * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    met = likely.join(sets.select(F.col("c").alias("a"), F.col("grams").alias("g1")), "a").join(sets.select(F.col("c").alias("b"), F.col("grams").alias("g2")), "b")
-    return staged(met.select("a", "b", "g1", "g2").mapInArrow(exact, "a long, b long").distinct(), "links")
+    met = likely.join(sets.select(F.col("c").alias("a"), F.col("body").alias("b1")), "a").join(sets.select(F.col("c").alias("b"), F.col("body").alias("b2")), "b")
+    return staged(met.select("a", "b", "b1", "b2").mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
 def _tile_pairs(rows: DataFrame, count: int, forests: int, part: int, whole: int) -> DataFrame:

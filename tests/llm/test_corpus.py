@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from compare import compare, connect
@@ -111,6 +112,25 @@ def test_near_copies_by_brute_force(spark, monkeypatch, size, part, tile):
     assert sorted(map(tuple, got), key=repr) == near_expected(rows, size, part)
 
 
+def test_near_copies_travel_as_packed_texts(spark, monkeypatch):
+    kept, staged = {}, ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", lambda df, purpose: kept.setdefault(purpose, staged(df, purpose)))
+    rows = near_rows(20, 4)
+    ngram_join.cluster(frame(spark, rows), 4, 85).count()
+    body = next(c for c, kind in kept["sets"].dtypes if kind == "binary")
+    packed = kept["sets"].selectExpr("count(*)", f"sum(octet_length({body}))").first()
+    longest = sorted((len(t) for _, t, _ in rows), reverse=True)[: packed[0]]
+    assert 0 < packed[1] < sum(longest)
+
+
+def test_packed_texts_come_back_in_order(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BATCH_BYTES", 100)
+    texts = ["x", None, "é" * 80, "a b c " * 50, "", "q"]
+    parts = [p.to_pylist() for p in ngram_join._unpacked(ngram_join._packed(pa.array(texts)).to_pylist())]
+    assert [t for p in parts for t in p] == [(t or "").encode() for t in texts]
+    assert len(parts) > 2
+
+
 def test_near_copies_on_odd_rows(spark, odd, empty):
     got = ngram_join.cluster(odd, 4, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == near_expected(odd_rows(), 4, 85)
