@@ -150,8 +150,9 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 def _packed(column: pa.Array) -> pa.Array:
     """Texts compressed one by one, after their length; hashes of their n-grams would take more and can't be compressed."""
+    codec = pa.Codec("zstd", compression_level=6)
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    return pa.array([len(t).to_bytes(4, "little") + pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())
+    return pa.array([len(t).to_bytes(4, "little") + codec.compress(t, asbytes=True) for t in texts], pa.binary())
 
 
 def _unpacked(packed: list[bytes]) -> Iterator[pa.Array]:
@@ -190,16 +191,17 @@ def _settled_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            for batch in common.slices(given, 1, BATCH_BYTES):
-                sets = [g for g, _ in _shingles(*_words(batch.column(1)), size)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), _signed([_set_hash(g, 0) for g in sets]), _signed([_set_hash(g, 1) for g in sets]), _packed(batch.column(1))],
-                    names=["key", "h1", "h2", "body"],
-                )
+            for batch in common.slices(given, 3, BATCH_BYTES):
+                sets = [g for g, _ in _shingles(*_words(batch.column(3)), size)]
+                hashes = [_signed([_set_hash(g, which) for g in sets]) for which in (0, 1)]
+                same = pc.and_(pc.equal(batch.column(1), hashes[0]), pc.equal(batch.column(2), hashes[1]))
+                batch = batch.filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _packed(batch.column(3))], names=["c", "body"])
 
     rows = docs.select(common.row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("_text"))
-    texts = common.semi_by_id(rows, owners.select("key").distinct(), "key")
-    sets = staged(texts.mapInArrow(bodies, "key long, h1 long, h2 long, body binary").join(owners, ["key", "h1", "h2"]).select("c", "body"), "sets")
+    few = owners.count() <= common.BROADCAST_IDS // 4  # four numbers a row
+    texts = rows.join(F.broadcast(owners) if few else owners, "key").select("c", "h1", "h2", "_text")
+    sets = staged(texts.mapInArrow(bodies, "c long, body binary"), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
