@@ -114,7 +114,13 @@ def test_near_copies_by_brute_force(spark, monkeypatch, size, part, tile):
 
 def test_near_copies_travel_as_packed_texts(spark, monkeypatch):
     kept, staged = {}, ngram_join.staged
-    monkeypatch.setattr(ngram_join, "staged", lambda df, purpose: kept.setdefault(purpose, staged(df, purpose)))
+
+    def keep(df, purpose):
+        rows = staged(df, purpose)
+        kept.setdefault(purpose, rows)
+        return rows
+
+    monkeypatch.setattr(ngram_join, "staged", keep)
     rows = near_rows(20, 4)
     ngram_join.cluster(frame(spark, rows), 4, 85).count()
     body = next(c for c, kind in kept["sets"].dtypes if kind == "binary")
