@@ -264,6 +264,11 @@ def _codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def _release() -> None:
+    """Named here, so that tasks call this module's own: what a nested function holds is sent to them as a copy."""
+    _CODECS.clear()
+
+
 def _mapped(rows: DataFrame, id_col: str, value: str, kind: str, fields: list[T.StructField], row) -> DataFrame:
     """``row`` applied to each value, batch by batch, beside the id."""
     common.ship(rows.sparkSession)
@@ -271,7 +276,7 @@ def _mapped(rows: DataFrame, id_col: str, value: str, kind: str, fields: list[T.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, 1, BATCH_BYTES, _CODECS.clear):
+            for batch in common.slices(whole, 1, BATCH_BYTES, _release):
                 made = list(zip(*(row(x) for x in batch.column(1).to_pylist())))
                 kinds = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[f.dataType.simpleString()] for f in fields]
                 yield pa.RecordBatch.from_arrays(

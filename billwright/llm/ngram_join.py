@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from billwright.llm import common, graph, spans
-from billwright.session import staged
+from billwright.session import handed, scratch, staged
 
 #: Counters of hashed words, by which n-grams are ordered from rare to common.
 WORD_BUCKETS = 1 << 16
@@ -171,7 +171,7 @@ def _unpacked(packed: list[bytes]) -> Iterator[pa.Array]:
 
 def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, *settings) -> DataFrame:
     """The pairs ``a``, ``b`` of classes that link; whole texts travel, so in small batches."""
-    with common.small_batches(docs.sparkSession, 200):
+    with common.small_batches(docs.sparkSession, 200), scratch(docs.sparkSession, inner=True):
         return _settled_pairs(pairs, classes, docs, *settings)
 
 
@@ -214,7 +214,7 @@ def _settled_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col
             yield b.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     met = likely.join(sets.select(F.col("c").alias("a"), F.col("body").alias("b1")), "a").join(sets.select(F.col("c").alias("b"), F.col("body").alias("b2")), "b")
-    return staged(met.select("a", "b", "b1", "b2").mapInArrow(exact, "a long, b long").distinct(), "links")
+    return handed(met.select("a", "b", "b1", "b2").mapInArrow(exact, "a long, b long").distinct(), "links")
 
 
 def _tile_pairs(rows: DataFrame, count: int, forests: int, part: int, whole: int) -> DataFrame:
@@ -310,26 +310,32 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
     share an id but not the text are apart; null ids take part, but a group's
     id is null only if all its ids are. Other columns are not read.
     """
-    common.ship(docs.sparkSession)
-    profiles = _profiles(docs, id_col, text_col, size, part, whole)
-    classes = staged(
-        profiles.where("n > 0")
-        .groupBy("h1", "h2", "n")
-        .agg(F.min("key").alias("key"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least"), F.first("bitmap").alias("bitmap"), F.first("tokens").alias("tokens"))
-        .withColumn("c", F.monotonically_increasing_id()),
-        "classes",
-    )
-    listed = classes.select("c", F.explode("tokens").alias("token"))
-    # most n-grams have one class only: they are told by a plain count
-    shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("token")
-    listed = staged(listed.join(shared, "token", "left_semi"), "shared")
-    members = [F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")]
-    # of lists with the same members one is enough
-    lists = listed.groupBy("token").agg(*members).groupBy("g", "x", "y").agg(F.min("token").alias("token"))
-    band = F.floor(F.log("n") / F.lit(math.log(whole / part) if part < whole else 1.0))
-    kept = staged(listed.join(lists.select("token"), "token"), "listed")
-    several = staged(classes.drop("tokens").join(kept.select("c").distinct(), "c", "left_semi"), "listed-classes")
-    listed = staged(kept.join(several.select("c", "n", band.alias("band")), "c"), "banded")
+    spark = docs.sparkSession
+    common.ship(spark)
+    # n-grams and bitmaps of all texts are the most that is written: they go when the lists are made
+    with scratch(spark, inner=True):
+        with scratch(spark, inner=True):
+            profiles = _profiles(docs, id_col, text_col, size, part, whole)
+            rows = handed(profiles.select("id", "key", "h1", "h2", "n"), "rows", out=2)
+            classes = handed(
+                profiles.where("n > 0")
+                .groupBy("h1", "h2", "n")
+                .agg(F.min("key").alias("key"), F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("least"), F.first("bitmap").alias("bitmap"), F.first("tokens").alias("tokens"))
+                .withColumn("c", F.monotonically_increasing_id()),
+                "classes",
+            )
+        listed = classes.select("c", F.explode("tokens").alias("token"))
+        # most n-grams have one class only: they are told by a plain count
+        shared = listed.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("token")
+        listed = staged(listed.join(shared, "token", "left_semi"), "shared")
+        members = [F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")]
+        # of lists with the same members one is enough
+        lists = listed.groupBy("token").agg(*members).groupBy("g", "x", "y").agg(F.min("token").alias("token"))
+        band = F.floor(F.log("n") / F.lit(math.log(whole / part) if part < whole else 1.0))
+        kept = staged(listed.join(lists.select("token"), "token"), "listed")
+        several = handed(classes.drop("tokens").join(kept.select("c").distinct(), "c", "left_semi"), "listed-classes")
+        listed = handed(kept.join(several.select("c", "n", band.alias("band")), "c"), "banded")
+        named = handed(classes.select("c", "h1", "h2", "n", "least"), "class-names")
 
     pivots = listed.groupBy("token", "band").agg(F.min("c").alias("a"))
     stars = listed.join(pivots, ["token", "band"]).where("a < c").groupBy(F.col("c").alias("b")).agg(F.min("a").alias("a"))
@@ -341,14 +347,14 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
     failed = None
     forests = 4
     while not tiles.isEmpty():
-        rows = _labelled(tiles, roots).join(several.select("c", "bitmap"), "c")
+        dealt = _labelled(tiles, roots).join(several.select("c", "bitmap"), "c")
         if failed is not None:
             within = tiles.select("tile", "c").distinct()
             told = failed.join(within, "c").join(within.withColumnRenamed("c", "unlike"), ["tile", "unlike"], "left_semi")
-            rows = rows.unionByName(told.select("tile", "c", "unlike"), allowMissingColumns=True)
+            dealt = dealt.unionByName(told.select("tile", "c", "unlike"), allowMissingColumns=True)
         else:
-            rows = rows.withColumn("unlike", F.lit(None).cast("long"))
-        found = staged(_tile_pairs(rows, tiles.count(), forests, part, whole), "tile-pairs")
+            dealt = dealt.withColumn("unlike", F.lit(None).cast("long"))
+        found = staged(_tile_pairs(dealt, tiles.count(), forests, part, whole), "tile-pairs")
         pairs = found.where("a >= 0")
         if pairs.isEmpty():
             break
@@ -359,10 +365,9 @@ def cluster(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, id
         failed = staged(tested.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("c"), F.col("b").alias("unlike")), "failed")
         forests *= 8
 
-    named = _labelled(classes.select("c", "h1", "h2", "n", "least"), roots)
+    named = _labelled(named, roots)
     least = named.groupBy("label").agg(F.min("least").alias("first"))
     named = named.join(least, "label").select("h1", "h2", "n", "first")
-    rows = profiles.select("id", "key", "h1", "h2", "n")
     linked = rows.where("n > 0").join(named, ["h1", "h2", "n"]).select("id", "key", "n", F.col("first.id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("stays"))
     alone = rows.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(True).alias("stays"))
     return linked.unionByName(alone).select(

@@ -81,6 +81,11 @@ def _counter(path: str) -> PartCounts:
     return _COUNTERS[path]
 
 
+def _release() -> None:
+    """Named here, so that tasks call this module's own: what a nested function holds is sent to them as a copy."""
+    _COUNTERS.clear()
+
+
 def count_tokens(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024
 ) -> DataFrame:
@@ -104,7 +109,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
         for whole in batches:
-            for batch in common.slices(whole, 1, BATCH_BYTES, _COUNTERS.clear):
+            for batch in common.slices(whole, 1, BATCH_BYTES, _release):
                 texts = common.texts(batch, 1)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from billwright.llm import bpe, decontaminate, exact_dedup, graph, line_dedup, ngram_join, passages, queries
 from billwright.llm.common import table
+from billwright.session import handed, scratch, staged
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -143,6 +145,36 @@ def test_near_copies_on_odd_rows(spark, odd, empty):
     assert ngram_join.cluster(empty, 4, 85).count() == 0
 
 
+def test_near_copies_keep_no_profiles_or_packed_texts(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr("billwright.session.shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    texts = [(100 + i, " ".join(f"word{j}" for j in range(i, i + 80)), "en") for i in range(6)]
+    with scratch(spark):
+        found = handed(ngram_join.cluster(frame(spark, odd_rows() + texts)), "groups")
+        held = {re.sub("-[0-9a-f]{32}$", "", p.name) for p in tmp_path.iterdir()}
+    assert {"rows", "class-names", "banded"} <= held and not held & {"profiles", "classes", "shared", "listed", "likely", "owners", "sets"}
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["groups"]
+    assert found.count() == len(odd_rows()) + 6 and found.where("doc_id >= 100").select("component_id").distinct().count() == 1
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("billwright.session.shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    rows = spark.range(20).groupBy((F.col("id") % 3).alias("k")).count()
+    left = lambda: sorted(p.name for p in tmp_path.iterdir())
+    with scratch(spark, inner=True):
+        assert spark.conf.get(key, None) == before
+    with scratch(spark):
+        with pytest.raises(ZeroDivisionError), scratch(spark):
+            staged(rows, "inner")
+            one, two = handed(rows, "one"), handed(rows, "two", out=2)
+            assert left() == ["inner", "one", "two"] and spark.conf.get(key) == "true"
+            1 / 0
+        assert left() == ["one", "two"] and one.count() == 3
+    assert left() == ["two"] and two.count() == 3 and staged(rows, "plain").count() == 3
+    assert left() == ["plain", "two"] and spark.conf.get(key, None) == before
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(5, 5)]

@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import SF, frame, odd_rows
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
-from billwright.llm import bpe, language, license_scan, license_texts, queries, token_counts, toxicity
+from billwright.llm import bpe, common, language, license_scan, license_texts, queries, token_counts, toxicity
 from billwright.llm.common import table
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -78,6 +80,27 @@ def test_counts_and_round_trip_on_odd_rows(spark, odd, empty, reference):
     assert bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("module, kept", [(bpe, "_CODECS"), (token_counts, "_COUNTERS")])
+def test_a_task_frees_what_the_one_before_it_kept(spark, monkeypatch, module, kept):
+    # the functions as a worker gets them
+    sent = []
+    docs = spark.createDataFrame([(1, "some words to encode")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: sent.append(cloudpickle.dumps(run)) or docs.selectExpr("*", "1 AS n_tokens"))
+    if module is bpe:
+        bpe.encode(docs, RANKS, P.PATTERN)
+    else:
+        token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(module, kept, {})
+    monkeypatch.setattr(common, "_KEPT", [])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words to encode"]})
+    for _ in range(2):
+        assert len(list(cloudpickle.loads(sent[0])(iter([batch])))) == 1
+    held = getattr(module, kept)
+    assert len(held) == 1
+    assert len(list(common.slices(batch, 1, 100))) == 1
+    assert not held and not common._KEPT
+
+
 def test_encode_then_decode_gives_the_texts(spark):
     docs = table(spark, SF, "documents")
     back = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
