@@ -113,8 +113,11 @@ def build_index(docs: DataFrame, gap: int, id_col: str = "doc_id", text_col: str
                 if segment.n_words >= SEGMENT_WORDS:
                     yield segment.rows(part, arrow)
                     part, segment = part + 1, _Segment(gap)
+                    common.give_back()
         if segment.docs:
             yield segment.rows(part, arrow)
+        del segment
+        common.give_back()
 
     return staged(docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema), "postings")
 
@@ -197,6 +200,7 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int =
     )
 
     def match(table: pa.Table) -> pa.Table:
+        common.give_back()  # what the segment before took
         part = table.column("part")[0].as_py() if table.num_rows else 0
         kind = table.column("kind").to_numpy()
         held = table.filter(pa.array(kind == 0))

@@ -226,6 +226,7 @@ def _tile_pairs(rows: DataFrame, count: int, forests: int, part: int, whole: int
     """
 
     def compare(table: pa.Table) -> pa.Table:
+        common.give_back()
         failed: dict[int, list[int]] = {}
         told = table.column("unlike").is_valid()
         for c, u in zip(*(table.filter(told).column(k).to_pylist() for k in ("c", "unlike"))):
