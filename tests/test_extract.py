@@ -1,5 +1,6 @@
 """Literal texts through the extractors, in both presets."""
 
+import random
 from datetime import date
 
 import pytest
@@ -225,3 +226,29 @@ def test_a_text_is_searched_once_for_its_customer(spark):
     plan = extract.extract_invoices(texts)._jdf.queryExecution().optimizedPlan().toString()
     # one search of the text, one of what it found
     assert plan.count("bill\\s+to") == 2
+
+
+def test_searches_that_look_first_miss_nothing(spark):
+    """The quick looks before a search are passed by every text that the search finds something in."""
+    texts = [
+        "+44 20 7946 0958", "44 1234 5678 9012", "44-1234-567-890", "1234567890", "x123.456.789.012", "17 2447.30 41604.11", "٤٤ ١٢٣٤ ٥٦٧٨ ٩٠١٢",
+        "15551234567", "+1 (555) 123-4567", "000000123 4567 8901", "9 555\n123\n4567", "1 2 3 4 5 6 7 8 9 0", "", "call 123 4567",
+    ]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("0123456789012345678 .-+()x\n") for _ in range(rng.randrange(40))) for _ in range(400)]
+    plainly = F.coalesce(
+        F.when(T.rlike(p.PHONE_AREA_CORE), F.regexp_replace(f.match_text(T, p.PHONE_AREA), p.PHONE_AREA, "($1) $2-$3")), f.match_text(T, p.PHONE_COUNTRY)
+    )
+    assert values(spark, f.phone(T), texts) == values(spark, plainly, texts)
+    as_printed = F.coalesce(f.match_text(T, p.PHONE_AREA), f.match_text(T, p.PHONE_COUNTRY))
+    assert values(spark, f.phone(T, as_printed=True), texts) == values(spark, as_printed, texts)
+    first = F.regexp_extract(T, p.ITEM_QUANTITY_FIRST, 0) != ""
+    rows = ["5 blue bolt 3.00 15.00", "a 7 x 3.50 24.50", "5   3.00 15.00", "gear 17 2.30 41.11", *texts]
+    assert not any(a and not b for a, b in values(spark, F.array(first, T.rlike(p.ITEM_TEXT_AFTER_DIGIT)), rows))
+
+
+def test_an_address_is_looked_for_once(spark):
+    """Before, every part of an address looked for its street again, and for each line."""
+    texts = spark.createDataFrame([(1, "t", "A Co")], "invoice_key long, tenant_id string, text string")
+    analyzed = extract.extract_invoices(texts)._jdf.queryExecution().analyzed().toString()
+    assert analyzed.count("array_position(transform(company_hits") == 1
