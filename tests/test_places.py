@@ -141,6 +141,13 @@ def test_pages_push_the_range_to_the_scan(spark):
     assert "GreaterThanOrEqual(at," in plan(page) and "LessThanOrEqual(at," in plan(page)
 
 
+def test_blocks_are_shuffled_before_they_are_copied_into_cells(spark):
+    blocks = spark.createDataFrame([(d, d % 2, i, "t", 0.5, 5.0, 10.0 * i) for d in range(4) for i in range(6)], "doc_id long, template_id long, block_index int, text string, confidence double, cx double, cy double")
+    physical = plan(regions._documents_in_cells(blocks, [0, 1], regions.CELL)).split("Physical Plan")[-1]
+    dealt = [x for x in physical.split("\n") if "Exchange" in x]
+    assert len(dealt) == 1 and "level" not in dealt[0] and physical.index("Generate") < physical.index("Exchange")
+
+
 def test_refused_files_are_listed_only(spark):
     folder = shared_folder(spark, "files")
     rows = [
